@@ -6,8 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontamination import benchmark_report
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.shared import prepare, table
+from tessera.llm.token_output import token_output
+
+#: The vocabulary file of operator 1's query.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    prepare(spark)
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return benchmark_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

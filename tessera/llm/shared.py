@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,21 @@ ARROW_ROWS = 256
 CACHE_WORDS = 400_000
 
 
+_SHIPPED: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive."""
+    """Bound the Arrow batches that Python workers receive, and ship this package to them once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        here = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera-package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(here.rglob("*.py")):
+                out.write(path, path.relative_to(here.parent))
+        context.addPyFile(str(archive))
 
 
 def shared_root(spark: SparkSession) -> str:

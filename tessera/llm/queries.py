@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontamination import benchmark_report
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.shared import prepare, table
+from tessera.llm.substring_dedup import substring_digest
 from tessera.llm.token_output import token_output
 
 #: The vocabulary file of operator 1's query.
@@ -27,6 +28,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontamination import benchmark_report
+from tessera.llm.ngram_join import ngram_join
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.shared import prepare, table
 from tessera.llm.substring_dedup import substring_digest
@@ -23,6 +24,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return benchmark_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,7 +9,8 @@ import zipfile
 from pathlib import Path
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and a Python worker; a batch of documents of
 #: 100 kB each stays near 25 MB.
@@ -85,6 +86,12 @@ def partitions_for(spark: SparkSession, df: DataFrame | None = None, floor: int
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_key(column: str = "text") -> dict[str, Column]:
+    """k1 and k2, 128 bits that stand for a text (null as empty)."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+
+
 class WordHash(dict):
     """word (UTF-8 bytes) -> 64-bit hash, remembered per worker up to ``CACHE_WORDS`` words."""
 
@@ -96,17 +103,6 @@ class WordHash(dict):
         return value
 
 
-class WordHash128(dict):
-    """word (UTF-8 bytes) -> 128-bit hash as 16 bytes, little end first."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = xxhash.xxh3_128_intdigest(word).to_bytes(16, "little")
-        self[word] = value
-        return value
-
-
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]

@@ -31,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WordHash, discard, release, text_bytes, written
+from tessera.llm.shared import WordHash, discard, release, text_bytes, text_key, written
 
 WINDOW = 35
 GRAM = 18
@@ -94,20 +93,14 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _key(raw: bytes) -> tuple[int, int]:
-    value = xxhash.xxh3_128_digest(raw)
-    return int.from_bytes(value[:8], "little", signed=True), int.from_bytes(value[8:], "little", signed=True)
-
-
 def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """One row a document: (doc_id, k1, k2, n_words, whole_sha256, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, shas, found = [], [], [], []
-            for raw in text_bytes(batch.column(1)):
+            counts, shas, found = [], [], []
+            for raw in text_bytes(batch.column(3)):
                 words = raw.split()
-                keys.append(_key(raw))
                 counts.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 if len(words) < window:
@@ -116,11 +109,11 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     pieces, at = anchors(_word_hashes(words), window, gram)
                     found.append(pieces[np.unique(at)].view(np.int64))
             yield pa.record_batch(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(found, pa.list_(pa.int64()))],
                 names=["doc_id", "k1", "k2", "n_words", "whole_sha256", "anchors"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string, anchors array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string, anchors array<long>")
 
 
 def _candidates(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -181,13 +174,7 @@ def _last_pass(rows: DataFrame, window: int) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, text): the key of each text beside it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [_key(raw) for raw in text_bytes(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column(1)], names=["doc_id", "k1", "k2", "text"])
-
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, text string")
+    return docs.withColumns(text_key()).select("doc_id", "k1", "k2", "text")
 
 
 def _with_text(some: DataFrame, docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import mixing
 from tessera.llm.decontamination import benchmark_report
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.quality_rules import quality_rules
@@ -29,6 +30,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return benchmark_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.oracle()}

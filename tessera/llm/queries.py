@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing
 from tessera.llm.decontamination import benchmark_report
+from tessera.llm.html_text import extract
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.shared import prepare, table
 from tessera.llm.substring_dedup import substring_digest
 from tessera.llm.token_output import token_output
+from tessera.llm.toxicity import score_documents
 
 #: The vocabulary file of operator 1's query.
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,6 +37,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return benchmark_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -45,6 +52,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

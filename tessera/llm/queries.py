@@ -10,11 +10,13 @@ from tessera.llm import mixing
 from tessera.llm.decontamination import benchmark_report
 from tessera.llm.html_text import extract
 from tessera.llm.ngram_join import ngram_join
+from tessera.llm.private_data import private_report
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.shared import prepare, table
 from tessera.llm.substring_dedup import substring_digest
 from tessera.llm.token_output import token_output
 from tessera.llm.toxicity import score_documents
+from tessera.llm.warc_derivatives import warc_derivatives
 
 #: The vocabulary file of operator 1's query.
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,6 +34,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return private_report(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
@@ -57,6 +64,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return warc_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

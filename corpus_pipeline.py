@@ -10,6 +10,7 @@ Null and empty texts fail the first stage's base rule.  An empty input gives no
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.decontamination import decontaminate
 from tessera.llm.mixing import sample_mixture
@@ -25,7 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the learned decision list keeps."""
     prepare(spark)
     rules = learned_rules(docs, table(spark, sf_dir, "labels"))
-    return apply_rules(docs, rules).where("kept").select(*docs.columns)
+    packed = docs.select("text", F.struct("*").alias("_own"))  # statistics may be named like columns of docs
+    return apply_rules(packed, rules).where("kept").select("_own.*")
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ Defined results
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -72,9 +73,12 @@ def with_cells(docs: DataFrame, targets: Targets) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     # Words begin where a character other than white space follows white space or the start.
     words = F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
-    topic = F.expr("case when t = '' then 'other' " + " ".join(f"when {c} then '{k}'" for k, c in targets.topics.items()) + " else 'other' end")
-    own = [c for c in docs.columns if c not in RESULTS]
-    return docs.select(*own, t.alias("t"), words.alias("n_words")).select(*own, "n_words", _named("source", targets.source).alias("_source"), _named("lang", targets.lang).alias("_lang"), topic.alias("topic")).withColumn("topic", _named("topic", targets.topic))
+    cases = " ".join(f"when {re.sub(r'\bt\b', '_mix_t', c)} then '{k}'" for k, c in targets.topics.items())
+    topic = F.expr(f"case when _mix_t = '' then 'other' {cases} else 'other' end")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
+    placed = docs.select(*own, t.alias("_mix_t"), words.alias("n_words"))
+    placed = placed.select(*own, "n_words", _named("source", targets.source).alias("_source"), _named("lang", targets.lang).alias("_lang"), topic.alias("topic"))
+    return placed.withColumn("topic", _named("topic", targets.topic))
 
 
 def _target(dimension: str, weights: dict[str, float]) -> Column:
@@ -140,7 +144,8 @@ def mixed_documents(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame
 
 def sample_mixture(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
     """The sampled documents, with the columns of ``docs``."""
-    return mixed_documents(docs, targets).where("kept").select(*docs.columns)
+    packed = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_own"))
+    return mixed_documents(packed, targets).where("kept").select("_own.*")
 
 
 def mixture_report(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:

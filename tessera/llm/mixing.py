@@ -89,10 +89,9 @@ def _target(dimension: str, weights: dict[str, float]) -> Column:
 def _raked(cells: DataFrame, targets: Targets) -> DataFrame:
     """One pass over the three marginals: each cell times target / present of its value."""
     for column, weights in (("_source", targets.source), ("_lang", targets.lang), ("topic", targets.topic)):
-        own, total = "partition by {}".format(column), "sum(w) over ()"
-        cells = cells.select("_source", "_lang", "topic", "tokens", F.expr(f"sum(w) over ({own})").alias("m"), "w", _target(column, weights).alias("g"))
+        cells = cells.select("_source", "_lang", "topic", "tokens", F.expr(f"sum(w) over (partition by {column})").alias("m"), "w", _target(column, weights).alias("g"))
         # Targets of values that are present, rescaled to add up to 1.
-        cells = cells.withColumn("live", F.expr(f"sum(if(m > 0, g * w / m, 0d)) over ()")).withColumn("w", F.expr("if(m > 0 and live > 0, w * (g / live) / m, 0d)"))
+        cells = cells.withColumn("live", F.expr("sum(if(m > 0, g * w / m, 0d)) over ()")).withColumn("w", F.expr("if(m > 0 and live > 0, w * (g / live) / m, 0d)"))
         cells = cells.select("_source", "_lang", "topic", "tokens", "w")
     return cells
 

@@ -7,8 +7,8 @@ bracketed phone numbers, card numbers, and persons named after a title.
 Each distinct entity, in a normal form without separators, gets a surrogate drawn from
 SHA-256 of (key, type, normal form, attempt):
 
-* letters and digits are replaced one by one by those of the same class, accents and
-  separators stay, so the surrogate fits every written format of the entity;
+* letters and digits are replaced one by one by those of the same class, accents,
+  separators and country codes stay, so the surrogate fits every written format of the entity;
 * card numbers keep their first digit and their check digit stays valid or invalid;
 * IP addresses keep their number of octets, each from 1 to 254;
 * names are drawn from lists of the title's gender and the name's script.
@@ -78,7 +78,7 @@ def _type(entity: Column) -> Column:
 
 def _split(kind: Column, entity: Column) -> tuple[Column, Column]:
     """(what stays in front, the part that is replaced)."""
-    lead = F.when(kind == "secret", F.regexp_extract(entity, r"\A(?:AKIA|(?i:token|password|passwd|secret|api[_-]?key)\s*[=:]\s*[\"']?)", 0)).when(kind == "person", F.regexp_extract(entity, rf"\A(?:{'|'.join((*MALE, *FEMALE))})\.? +", 0)).otherwise(F.lit(""))
+    lead = F.when(kind == "secret", F.regexp_extract(entity, r"\A(?:AKIA|(?i:token|password|passwd|secret|api[_-]?key)\s*[=:]\s*[\"']?)", 0)).when(kind == "person", F.regexp_extract(entity, rf"\A(?:{'|'.join((*MALE, *FEMALE))})\.? +", 0)).when(kind == "phone", F.regexp_extract(entity, r"\A\+\d{1,3}[ .-]", 0)).otherwise(F.lit(""))
     return lead, F.substring(entity, F.length(lead) + 1, F.length(entity))
 
 

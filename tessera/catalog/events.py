@@ -204,6 +204,45 @@ def asof_parent(spark, sf_dir):
     return as_of(left, right, "user_id", "at", "sealed_at", "signup_id").select("event_id", "signup_id")
 
 
+@query(_REVISIONS + "SELECT r.id, f.sid AS session_id FROM r JOIN (SELECT DISTINCT 's' || user_id AS sid FROM events WHERE event_type = 'signup') f ON f.sid = r.session_id WHERE classification = 'closed_forkable'")
+def revisions_with_sessions(spark, sf_dir):
+    """Forkable revisions of sessions that were opened."""
+    opened = session_log(spark, sf_dir).where(F.col("topic") == views.INIT).select("session_id").distinct()
+    return views.revisions(request_log(spark, sf_dir)).where("classification = 'closed_forkable'").join(opened, "session_id").select("id", "session_id")
+
+
+@query("SELECT event_id, 's' || user_id AS session_id FROM events WHERE event_type = 'error' AND user_id IN (SELECT user_id FROM events WHERE event_type IN ('signup', 'view'))")
+def session_releases(spark, sf_dir):
+    """Closing events joined with the sessions view."""
+    log = session_log(spark, sf_dir)
+    known = views.sessions(log).select("session_id")
+    return log.where(F.col("topic") == views.CLOSE).join(known, "session_id").select("event_id", "session_id")
+
+
+@query("""
+SELECT s.session_id, CASE WHEN s.user_id % 2 = 0 THEN 'actor' || s.user_id ELSE 'default' END AS actor
+FROM (SELECT DISTINCT user_id, 's' || user_id AS session_id FROM events WHERE event_type IN ('signup', 'view')) s
+""")
+def pending_actors(spark, sf_dir):
+    """An actor registered before is handed to the session's first event."""
+    log = session_log(spark, sf_dir)
+    actors = log.select("session_id").distinct().where(F.substring("session_id", 2, 10).cast("long") % 2 == 0).select("session_id", F.concat(F.lit("actor"), F.substring("session_id", 2, 10)).alias("actor"))
+    return views.sessions(log, actors).select("session_id", "actor")
+
+
+@query("""
+SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS held FROM events e
+WHERE event_type = 'click' AND event_id > coalesce((SELECT max(event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase'), -1) GROUP BY user_id
+""")
+def held_emissions(spark, sf_dir):
+    """What waits for a closing event: clicks after the user's last purchase."""
+    rows = table(spark, sf_dir, "events")
+    last = rows.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    held = rows.where("event_type = 'click'").join(last, "user_id", "left").where("event_id > coalesce(last, -1)")
+    some = held.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("x"))
+    return some.select("user_id", F.array_join(F.transform("x", lambda k: k.cast("string")), ",").alias("held"))
+
+
 def _branch_changes(spark, sf_dir):
     """Each user's log as branch changes: signups create views at the latest revision, views are
     revisions that complete at once, clicks relabel, errors delete."""

@@ -226,3 +226,18 @@ def changed_outputs(spark, sf_dir):
     used = rows.select("l_orderkey", F.md5("l_linestatus").alias("used"))
     new = rows.select("l_orderkey", F.md5("l_returnflag").alias("changed"))
     return new.join(used, "l_orderkey").where("changed <> used").select("l_orderkey", "changed").distinct()
+
+
+@query("SELECT l_orderkey, string_agg((2 * (l_linenumber + l_quantity::INT))::VARCHAR, ',' ORDER BY l_linenumber, l_quantity::INT) AS result FROM lineitem GROUP BY l_orderkey")
+def nested_workflow(spark, sf_dir):
+    """The action inside split and gather is a workflow of two actions."""
+    inner = Pipeline({"sum": Node("sum"), "twice": Node("twice")}, (Edge(None, "A", "sum", "A"), Edge(None, "B", "sum", "B"), Edge("sum", "output", "twice", "x"), Edge("twice", "output", None, "output")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("B"))
+    items = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "B"))), lambda x: F.struct(x.l_linenumber.alias("A"), x.B.alias("B"))).alias("items"))
+    actions = {
+        "inner": inner,
+        "sum": flow.Action(("A", "B"), column=lambda c: {"output": c["A"] + c["B"]}),
+        "twice": flow.Action(("x",), column=lambda c: {"output": c["x"] * 2}),
+    }
+    out = flow.run(_split_merge("inner"), items, actions, ("l_orderkey",))
+    return out.select("l_orderkey", F.array_join(F.transform("result", lambda x: x.cast("string")), ",").alias("result"))

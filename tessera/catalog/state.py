@@ -221,6 +221,36 @@ def refresh_tasks(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", st.after_refresh(state).alias("status"))
 
 
+@query("""
+SELECT l_orderkey AS revision, l_linenumber AS node, l_returnflag AS status FROM lineitem
+UNION ALL SELECT -l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'IDLE' ELSE l_returnflag END FROM lineitem WHERE l_orderkey % 11 = 5
+""")
+def player_submit(spark, sf_dir):
+    """A submission forks the revision and sets the answered node."""
+    states = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("revision"), F.col("l_linenumber").alias("node"), F.col("l_returnflag").alias("status"))
+    parents = states.where("revision % 11 = 5").select(F.col("revision").alias("parent"), (-F.col("revision")).alias("child")).distinct()
+    answered = (F.col("revision") < 0) & (F.col("node") == 1)
+    return st.forked(states, parents).withColumn("status", F.when(answered, "IDLE").otherwise(F.col("status")))
+
+
+@query("""
+SELECT o_orderkey AS task_id, CASE WHEN o_orderstatus = 'F' THEN 'RUNNING' WHEN o_orderkey % 10 = 0 THEN 'PENDING' ELSE o_orderstatus END AS status FROM orders
+""")
+def schedule_and_rerun(spark, sf_dir):
+    """Scheduling replaces a state by PENDING; a rerun of an ended one claims it again."""
+    state = F.col("o_orderstatus")
+    scheduled = F.when(F.col("o_orderkey") % 10 == 0, "PENDING").otherwise(state)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), st.after_claim(scheduled, state == "F").alias("status"))
+
+
+@query("SELECT o_orderkey AS action_id, upper(o_orderpriority) AS tag, o_custkey AS scope_id FROM orders UNION ALL SELECT 0, 'CORE:DEFINE_ACTION', 0")
+def list_actions(spark, sf_dir):
+    """User actions are projected tasks; system actions come with fixed values."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("action_id"), F.upper("o_orderpriority").alias("tag"), F.col("o_custkey").alias("scope_id"))
+    system = spark.createDataFrame([(0, "CORE:DEFINE_ACTION", 0)], "action_id long, tag string, scope_id long")
+    return own.unionByName(system)
+
+
 # -- inspection ---------------------------------------------------------------------------
 
 

@@ -187,3 +187,31 @@ def label_resolution(spark, sf_dir):
     n = F.coalesce(F.size("k"), F.lit(0))
     text = F.concat(F.lit("ambiguous: "), F.array_join(F.transform("k", lambda x: x.cast("string")), ","))
     return customer.join(some, customer.c_custkey == some.o_custkey, "left").select("c_custkey", F.when(F.col("k").isNull(), "none").when(n == 1, "deleted").otherwise(text).alias("answer"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'string' WHEN 3 THEN 'number' END AS kind FROM events")
+def json_kinds(spark, sf_dir):
+    """The kind of a JSON value; null where it isn't JSON."""
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, F.col("props")).when(k == 1, "[1, 2]").when(k == 2, '"x"').when(k == 3, "2.5").otherwise("{broken")
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    named = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind.isNotNull(), "number")
+    return table(spark, sf_dir, "events").select("event_id", named.alias("kind"))
+
+
+@query("""
+WITH m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last, turn FROM conversations)
+SELECT conv_id, count(*) AS n, sum(length(text)) + CASE WHEN count(last) > 0 THEN 9 ELSE 0 END AS chars FROM m GROUP BY conv_id
+""")
+def reminded_messages(spark, sf_dir):
+    """A reminder of eight characters and a line feed goes in front of the last user message."""
+    some = _conversations(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    out = some.select("conv_id", msg.reminded(F.col("m"), F.lit("remember")).alias("m"))
+    return out.select("conv_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + F.length(x.text)).alias("chars"))
+
+
+@query("SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') > 1 AS parallel FROM lineitem GROUP BY l_orderkey")
+def parallel_tools(spark, sf_dir):
+    """Bodies whose last message has several tool results."""
+    blocks = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_returnflag") == "R", "tool_result").otherwise("text").alias("type"))).alias("b"))
+    return blocks.select("l_orderkey", (F.size(F.filter("b", lambda x: x.type == "tool_result")) > 1).alias("parallel"))

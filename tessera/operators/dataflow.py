@@ -139,6 +139,22 @@ def memoised(frame: DataFrame, action: Action) -> DataFrame:
     return frame.join(right, condition).drop(*(f"_r{k}" for k in range(len(action.inputs))))
 
 
+def nested(inner: Pipeline | Plan, frame: DataFrame, actions: dict[str, Action | Pipeline], scope: tuple[str, ...]) -> DataFrame:
+    """A workflow as an action: each (scope, context) is a run of its own; metadata is put back."""
+    keys = _context(frame, scope)
+    inside = {c: f"run:{k}" for k, c in enumerate(keys)}
+    meta = [c for c in frame.columns if c.startswith("^")]
+    slots = [c for c in frame.columns if c not in keys and c not in meta and c != "_order"]
+    runs = frame.select(*(_q(c).alias(inside[c]) for c in keys), *(_q(c) for c in slots))
+    out = run(inner, runs, actions, tuple(inside.values()))
+    back = out.select(*(_q(inside[c]).alias(c) for c in keys), *(_q(c) for c in out.columns if c not in inside.values()))
+    if not meta:
+        return back
+    right = frame.select(*(_q(c).alias(inside[c]) for c in keys), *(_q(c) for c in meta))
+    condition = [_q(c).eqNullSafe(_q(inside[c])) for c in keys]
+    return back.join(right, condition).drop(*inside.values())
+
+
 def _literal(value) -> Column:
     if isinstance(value, (dict, list)):
         kind = F.schema_of_json(F.lit(json.dumps(value)))
@@ -146,8 +162,8 @@ def _literal(value) -> Column:
     return F.lit(value)
 
 
-def run(pipeline: Pipeline | Plan, inputs: DataFrame, actions: dict[str, Action], scope: tuple[str, ...]) -> DataFrame:
-    """The graph's outputs: scope and the output slots, metadata stripped."""
+def run(pipeline: Pipeline | Plan, inputs: DataFrame, actions: dict[str, Action | Pipeline], scope: tuple[str, ...]) -> DataFrame:
+    """The graph's outputs: scope and the output slots, metadata stripped; an action may be a graph itself."""
     known = pipeline if isinstance(pipeline, Plan) else plan(pipeline)
     results: dict[str | None, DataFrame] = {None: inputs}
     runs = inputs.select(*(_q(c) for c in scope)).distinct()
@@ -167,6 +183,8 @@ def run(pipeline: Pipeline | Plan, inputs: DataFrame, actions: dict[str, Action]
             results[name] = split(arrived, slot)
         elif kind == "merge":
             results[name] = gather(arrived, scope)
+        elif isinstance(actions[node.action], (Pipeline, Plan)):
+            results[name] = nested(actions[node.action], arrived, actions, scope)
         else:
             results[name] = applied(arrived, actions[node.action], scope)
     out = arrive(None)

@@ -10,6 +10,7 @@ from tessera.llm import mixing
 from tessera.llm.decontamination import benchmark_report
 from tessera.llm.html_text import extract
 from tessera.llm.ngram_join import ngram_join
+from tessera.llm.oracles import ORACLES
 from tessera.llm.private_data import private_report
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.shared import prepare, table
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle()}
+    return dict(ORACLES)

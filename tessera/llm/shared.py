@@ -78,7 +78,12 @@ def release(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over the cores where it comes in fewer pieces than there are cores."""
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and out._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores:
+        return out.repartition(cores)
+    return out
 
 
 def partitions_for(spark: SparkSession, df: DataFrame | None = None, floor: int = 1) -> int:
@@ -86,6 +91,18 @@ def partitions_for(spark: SparkSession, df: DataFrame | None = None, floor: int
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_CACHES: list[dict] = []
+
+
+def sole(cache: dict) -> None:
+    """Let ``cache`` be the only large one of this worker: others, of operators that ran before, are emptied."""
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+    if not any(x is cache for x in _CACHES):
+        _CACHES.append(cache)
+
+
 def text_key(column: str = "text") -> dict[str, Column]:
     """k1 and k2, 128 bits that stand for a text (null as empty)."""
     text = F.coalesce(F.col(column), F.lit(""))

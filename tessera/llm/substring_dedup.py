@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WordHash, discard, release, text_bytes, text_key, written
+from tessera.llm.shared import WordHash, discard, release, sole, text_bytes, text_key, written
 
 WINDOW = 35
 GRAM = 18
@@ -97,6 +97,7 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """One row a document: (doc_id, k1, k2, n_words, whole_sha256, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_HASH)
         for batch in batches:
             counts, shas, found = [], [], []
             for raw in text_bytes(batch.column(3)):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import CACHE_WORDS, discard, written
+from tessera.llm.shared import CACHE_WORDS, discard, sole, written
 
 MAX_TOXIC = 3_000
 MAX_CLEAN = 20_000
@@ -138,6 +138,7 @@ def term_vectors(rows: DataFrame, terms: list[str], carried: list[str]) -> DataF
     shared, key = rows.sparkSession.sparkContext.broadcast(terms), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_LOOKUPS)
         if key not in _LOOKUPS:
             _LOOKUPS.clear()
             _LOOKUPS[key] = Lookup(shared.value)

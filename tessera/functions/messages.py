@@ -103,12 +103,15 @@ def sse_events(body: Column) -> Column:
 
 def sse_stop_reason(body: Column) -> Column:
     """The last stop reason that message_delta events name before message_stop."""
-    events = sse_events(body)
-    kinds = F.transform(events, lambda x: F.get_json_object(x, "$.type"))
-    stop = F.array_position(kinds, F.lit("message_stop"))
-    upto = F.slice(events, F.lit(1), F.when(stop > 0, stop.cast("int")).otherwise(F.size(events)))
-    deltas = F.filter(upto, lambda x: (F.get_json_object(x, "$.type") == "message_delta") & F.get_json_object(x, "$.delta.stop_reason").isNotNull())
-    return F.get_json_object(F.get(F.reverse(deltas), F.lit(0)), "$.delta.stop_reason")
+    events = F.transform(sse_events(body), lambda x: F.struct(F.get_json_object(x, "$.type").alias("kind"), F.get_json_object(x, "$.delta.stop_reason").alias("stop")))
+
+    def last(found: Column) -> Column:
+        end = F.array_position(F.transform(found, lambda x: x.kind), F.lit("message_stop"))
+        upto = F.slice(found, F.lit(1), F.when(end > 0, end.cast("int")).otherwise(F.size(found)))
+        return F.get(F.reverse(F.filter(upto, lambda x: (x.kind == "message_delta") & x.stop.isNotNull())), F.lit(0)).getField("stop")
+
+    # A lambda's variable stands for the parsed events, so that they are parsed once.
+    return F.get(F.transform(F.array(events), last), F.lit(0))
 
 
 def json_stop_reason(body: Column) -> Column:

@@ -54,7 +54,7 @@ FAMILY = {
 _NAME = rf"(?:{_LETTER}[\p{{L}}'’-]+)"
 PATTERNS = {
     "secret": r"(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,}|\bAKIA[0-9A-Z]{12,20}\b",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b(?!\.\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
     "card": r"\b\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}\b",
@@ -96,6 +96,14 @@ def found_entities(text: Column) -> Column:
     return F.regexp_extract_all(text, _q(ANY), F.lit(0))
 
 
+def has_entities(text: Column) -> Column:
+    """Whether a text has an entity.  No entity lacks all of the marks looked for first."""
+    hint = text.rlike("[0-9@=:]")
+    for word in ("AKIA", *MALE, *FEMALE):
+        hint = hint | text.contains(word)
+    return F.coalesce(hint & text.rlike(ANY), F.lit(False))
+
+
 def described(entities: DataFrame) -> DataFrame:
     """(entity) with kind, lead, part, normal, class: what a surrogate is drawn for."""
     kind = _type(F.col("entity"))
@@ -191,9 +199,10 @@ def _written_like() -> Column:
 def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``."""
     spark = docs.sparkSession
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
-    marked = docs.select(*own, F.size(found_entities(F.coalesce("text", F.lit("")))).cast("long").alias("n_entities"))
-    keyed = docs.select("text").withColumns(text_key())
+    names = [c for c in docs.columns if c != "n_entities"]
+    own = [F.col(f"`{c}`") for c in names]
+    matches = has_entities(F.col("text"))  # only matching texts are taken apart
+    keyed = docs.select("text").where(matches).withColumns(text_key())
     # Copies of a text meet here, by their keys, before anything else is shuffled.
     lists = written(keyed.select("k1", "k2", F.explode(F.array_distinct(found_entities(F.col("text")))).alias("entity")).distinct(), "surrogate-lists")
     release(spark)
@@ -207,15 +216,14 @@ def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
         discard(old)
     release(spark)
 
-    plain = marked.where("n_entities = 0")
-    names = [c for c in docs.columns if c != "n_entities"]
-    some = marked.where("n_entities > 0").select(F.struct(*own, "n_entities").alias("_own"), "text").withColumns(text_key())
+    plain = docs.where(~matches).select(*own, F.lit(0).cast("long").alias("n_entities"))
+    some = docs.where(matches).select(F.struct(*own).alias("_own"), "text").withColumns(text_key())
     replaced = some.join(pairs.withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")))
     gaps, ents = F.split("text", ANY, -1), found_entities(F.col("text"))
     both = replaced.select("_own", "_instead", gaps.alias("_gaps"), ents.alias("_entities"))
     joined = F.expr("array_join(transform(_gaps, (g, i) -> concat(g, coalesce(element_at(_instead, get(_entities, i)), ''))), '')")
-    both = both.select("_own", joined.alias("_text"))
-    out = both.select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_own.`{c}`") for c in names), "_own.n_entities")
+    both = both.select("_own", joined.alias("_text"), F.size("_entities").cast("long").alias("n_entities"))
+    out = both.select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_own.`{c}`") for c in names), "n_entities")
     return plain.unionByName(out)
 
 

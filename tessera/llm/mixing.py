@@ -130,15 +130,20 @@ def chance(seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def _with_chances(placed: DataFrame, targets: Targets, cells: DataFrame) -> DataFrame:
+    """``placed`` with the probability of its cell and ``kept`` (u is there already)."""
+    factors = written(fitted_cells(cells, targets), "mix-factors")
+    factors = factors.select(*(F.col(c).alias(f"_f{k}") for k, c in enumerate(("_source", "_lang", "topic"))), "probability")
+    on = (F.col("_source") == F.col("_f0")) & (F.col("_lang") == F.col("_f1")) & (F.col("topic") == F.col("_f2"))
+    out = placed.join(F.broadcast(factors), on, "left").drop("_f0", "_f1", "_f2", "_source", "_lang")
+    return out.withColumn("kept", F.col("u") < F.col("probability"))
+
+
 def mixed_documents(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
     """``docs`` with n_words, topic, probability, u and ``kept``."""
     placed = with_cells(docs, targets)
     # Only the cells' columns are needed to count; texts are read again for the result.
-    factors = written(fitted_cells(placed.select("n_words", "_source", "_lang", "topic"), targets), "mix-factors")
-    factors = factors.select(*(F.col(c).alias(f"f{c}") for c in ("_source", "_lang", "topic")), "probability")
-    on = (F.col("_source") == F.col("f_source")) & (F.col("_lang") == F.col("f_lang")) & (F.col("topic") == F.col("ftopic"))
-    out = placed.join(F.broadcast(factors), on, "left").drop("f_source", "f_lang", "ftopic", "_source", "_lang")
-    return out.withColumn("u", chance(targets.seed)).withColumn("kept", F.col("u") < F.col("probability"))
+    return _with_chances(placed.withColumn("u", chance(targets.seed)), targets, placed.select("n_words", "_source", "_lang", "topic"))
 
 
 def sample_mixture(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
@@ -148,8 +153,14 @@ def sample_mixture(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
 
 
 def mixture_report(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
-    """One row a document: its cell's probability and whether it is sampled."""
-    return mixed_documents(docs.select("doc_id", "text", "source", "lang"), targets).select("doc_id", "n_words", "topic", "probability", "kept")
+    """One row a document: its cell's probability and whether it is sampled.
+
+    Texts are read once; a table of a few columns stands for them afterwards.
+    """
+    placed = with_cells(docs.select("doc_id", "text", "source", "lang"), targets).withColumn("u", chance(targets.seed))
+    placed = written(placed.select("doc_id", "n_words", "_source", "_lang", "topic", "u"), "mix-documents")
+    out = _with_chances(placed, targets, placed.select("n_words", "_source", "_lang", "topic"))
+    return out.select("doc_id", "n_words", "topic", "probability", "kept")
 
 
 def _values(weights: dict[str, float]) -> str:

@@ -59,3 +59,11 @@ def test_empty_input(spark, sf_dir):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.collect() == []
+
+
+def test_every_stage_takes_odd_rows(spark, sf_dir, odd):
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns, name
+        assert {str(r) for r in out.collect()} <= {str(r) for r in odd.collect()}, name
+    assert P.STAGES[-1][1](spark, odd, sf_dir).count() == odd.count()

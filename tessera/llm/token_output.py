@@ -27,53 +27,161 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import discard, partitions_for, shared_path, written
+from tessera.llm.shared import discard, partitions_for, shared_path, sole, written
 
-#: Chunks that a worker remembers the ids of, before it starts afresh.
-CACHE_CHUNKS = 500_000
+#: Chunks of each of two generations that a worker remembers the ids of.
+CACHE_CHUNKS = 800_000
+#: Marks the rows that carry a task's token counts.
+COUNTS = -1
 
 # -- coding ---------------------------------------------------------------------------
 
 _CODES = np.arange(256, dtype=np.uint8)
 #: The lengths of the four ids that a control byte describes.
 LENGTHS = np.stack([(_CODES >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.int64)
-_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of an array of ranks below 2**32."""
+def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of every id where each array is padded to fours, first control byte of each array and their number)."""
+    fours = -(-counts // 4)
+    first = np.concatenate([[0], np.cumsum(fours)])
+    starts = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) + np.repeat(4 * first[:-1] - starts, counts), first
+
+
+def encode_many(ranks: np.ndarray, counts: list[int]) -> list[tuple[bytes, bytes]]:
+    """(control, data) of each of the arrays of ranks below 2**32 that lie one after another."""
+    sizes = np.array(counts, dtype=np.int64)
     ranks = ranks.astype("<u4", copy=False)
-    lengths = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[: len(ranks)] = lengths - 1
+    most = max(1, -(-int(ranks.max()).bit_length() // 8)) if len(ranks) else 1
+    used, own = np.ones((len(ranks), most), dtype=bool), np.zeros(len(ranks), dtype=np.uint8)
+    for k in range(1, most):
+        used[:, k] = ranks >= 1 << 8 * k
+        own += used[:, k]
+    places, first = _padded(sizes)
+    codes = np.zeros(4 * first[-1], dtype=np.uint8)
+    codes[places] = own
     four = codes.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) < lengths[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :most][used].tobytes()
+    ends = np.concatenate([[0], np.cumsum(own, dtype=np.int64) + np.arange(1, len(own) + 1)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [(control[first[k] : first[k + 1]], data[ends[k] : ends[k + 1]]) for k in range(len(sizes))]
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks of (control, data), by table lookup."""
-    lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
+def decode_many(streams: list[tuple[bytes, bytes]], counts: list[int]) -> np.ndarray:
+    """The ranks of all (control, data) of ``counts`` ids each, one after another, by table lookup."""
+    places, _ = _padded(np.array(counts, dtype=np.int64))
+    lengths = LENGTHS[np.frombuffer(b"".join(x[0] for x in streams), dtype=np.uint8)].reshape(-1)[places]
+    raw = np.frombuffer(b"".join(x[1] for x in streams), dtype=np.uint8)
     ends = np.cumsum(lengths)
-    if n and ends[-1] != len(data):
+    if len(ends) and ends[-1] != len(raw):
         raise ValueError("control bytes and data differ in length")
     at = ends - lengths
-    padded = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
-    whole = padded[at] | padded[at + 1] << 8 | padded[at + 2] << 16 | padded[at + 3] << 24
-    return whole & _MASKS[lengths]
+    out = raw[at].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(lengths > k)
+        if not len(more):
+            break
+        out[more] |= raw[at[more] + k].astype(np.uint32) << 8 * k
+    return out
+
+
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    return encode_many(ranks, [len(ranks)])[0]
+
+
+def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    return decode_many([(control, data)], [n])
+
+
+#: Ids that are coded at once.
+GROUP_IDS = 16_000
+
+
+def _groups(counts: list[int]) -> Iterator[tuple[int, int]]:
+    """Slices of consecutive documents with about GROUP_IDS ids each."""
+    first = total = 0
+    for k, n in enumerate(counts):
+        if total and total + n > GROUP_IDS:
+            yield first, k
+            first, total = k, 0
+        total += n
+    if first < len(counts):
+        yield first, len(counts)
 
 
 # -- tokenising -----------------------------------------------------------------------
 
-#: White space (in the widest sense of the pattern's and Python's) that may stand before a blank.
-_BEFORE_BLANK = tuple(chr(c) + " " for c in range(0x110000) if chr(c).isspace())
+#: White space, in the widest sense of the pattern's and Python's, other than blank and line feed.
+_RARE = tuple(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n")
+_ASCII_RARE = tuple(x for x in _RARE if x.isascii())
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level models' rule: visible Latin-1 characters stand for themselves, other bytes for U+0100 onward."""
+    seen = {c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or 0xAE <= c}
+    return {c: chr(c) for c in seen} | {c: chr(0x100 + k) for k, c in enumerate(sorted(set(range(256)) - seen))}
+
+
+class _Remembered(dict):
+    """What ``one`` makes of letters and ``make`` of other strings, for two generations of strings."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.one(key) if key.isalpha() else self.make(key)
+        self[key] = found
+        if len(self) > CACHE_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+        return found
+
+
+class _Chunks(_Remembered):
+    """chunk -> its ids as bytes; ``lead`` is the blank that was cut off before it, if any."""
+
+    def __init__(self, lead: str, owner: ChunkTokenizer) -> None:
+        super().__init__()
+        self.lead, self.owner = lead, owner
+        self.alphabet = _byte_alphabet()
+        self.mapped_lead = lead.translate(self.alphabet)
+        self.tokenize = owner.tokenizer.model.tokenize
+
+    def one(self, piece: str) -> bytes:
+        """A single match of the pattern goes to the library's model, in its alphabet of bytes."""
+        if piece.isascii() and piece.isprintable():
+            mapped = self.mapped_lead + piece
+        else:
+            mapped = (self.lead + piece).encode().decode("latin-1").translate(self.alphabet)
+        return array(self.owner.code, [x.id for x in self.tokenize(mapped)]).tobytes()
+
+    def make(self, chunk: str) -> bytes:
+        """The ids of a chunk that isn't letters only."""
+        core = chunk.rstrip(_MARKS)
+        heads = self.owner.heads
+        if not core and chunk:  # marks only
+            return self.one(chunk)
+        if core.isalpha():  # letters, then marks: two matches
+            return self[core] + (heads[chunk[len(core) :]] if core != chunk else b"")
+        lines = chunk.split("\n")
+        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            # A lone line feed between other characters is a match by itself.
+            feed = self.owner.feed
+            return self[lines[0]] + b"".join(feed + heads[x] for x in lines[1:])
+        return array(self.owner.code, self.owner.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids).tobytes()
 
 
 class ChunkTokenizer:
@@ -81,7 +189,9 @@ class ChunkTokenizer:
 
     The byte-level pattern never lets a match run from a character that isn't white space
     into a blank, so a text can be cut before each such blank and every chunk encoded by
-    itself: the ids are those of the whole text.  Most chunks are words seen before.
+    itself: the ids are those of the whole text.  Most chunks are words seen before; a new
+    one that is plainly one or two matches goes to the library's model directly, any other
+    through its whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -94,32 +204,25 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.heads = _Chunks("", self)
+        self.rest = _Chunks(" ", self)
+        self.feed = self.heads.one("\n")
         self.cut = re.compile(r"(?<=\S) ")
 
     def split(self, text: str) -> list[str]:
-        if any(x in text for x in _BEFORE_BLANK):
-            return self.cut.split(text)
-        return text.split(" ")
-
-    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        missing = list(chunks.difference(known))
-        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast([lead + x for x in missing], add_special_tokens=False)):
-            known[chunk] = array(self.code, found.ids).tobytes()
+        parts = text.split(" ")
+        if "" in parts or "\n " in text or any(x in text for x in (_ASCII_RARE if text.isascii() else _RARE)):
+            return self.cut.split(text)  # some blank may follow white space
+        return parts
 
     def encode(self, texts: Iterable[str], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, as bytes of ``self.code``."""
-        if len(self.heads) > CACHE_CHUNKS:
-            self.heads.clear()
-        if len(self.rest) > CACHE_CHUNKS:
-            self.rest.clear()
         end = array(self.code, [end_id]).tobytes()
-        parts = [self.split(x) for x in texts]
-        self._learn(self.heads, {x[0] for x in parts}, "")
-        self._learn(self.rest, set().union(*(x[1:] for x in parts)), " ")
-        at = self.rest.__getitem__
-        return [self.heads[x[0]] + b"".join(map(at, x[1:])) + end for x in parts]
+        out = []
+        for text in texts:
+            head, *rest = self.split(text)
+            out.append(self.heads[head] + b"".join(map(self.rest.__getitem__, rest)) + end)
+        return out
 
 
 _TOKENIZERS: dict[int, ChunkTokenizer] = {}
@@ -127,6 +230,7 @@ _TOKENIZERS: dict[int, ChunkTokenizer] = {}
 
 def _tokenizer(shared) -> ChunkTokenizer:
     """One for each worker and broadcast."""
+    sole(_TOKENIZERS)
     if shared.id not in _TOKENIZERS:
         _TOKENIZERS.clear()
         _TOKENIZERS[shared.id] = ChunkTokenizer(shared.value[1])
@@ -145,7 +249,11 @@ class _Shared:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of every whole text and the end id, two or four bytes each."""
+    """(doc_id, n_tokens, ids, width, tie): the ids of every whole text and the end id, two or four bytes
+    each, and a hash of them that orders equal doc_ids.
+
+    A last row of each task has n_tokens ``COUNTS`` and its token counts (eight bytes an id).
+    """
     import uuid
 
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; a vocabulary file of bounded size
@@ -154,14 +262,21 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(shared)
         width = array(own.code).itemsize
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             found = own.encode(["" if x is None else x for x in batch.column(1).to_pylist()], end_id)
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array([width] * len(found), pa.int32())],
-                names=["doc_id", "n_tokens", "ids", "width"],
+                [batch.column(0), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array([width] * len(found), pa.int32()), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in found], pa.int64())],
+                names=["doc_id", "n_tokens", "ids", "width", "tie"],
             )
+            some = np.bincount(_ids(b"".join(found), width))
+            if len(some) > len(total):
+                total = np.concatenate([total, np.zeros(len(some) - len(total), dtype=np.int64)])
+            total[: len(some)] += some
+        if len(total):
+            yield pa.record_batch([pa.array([None], pa.int64()), pa.array([COUNTS], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([8], pa.int32()), pa.array([0], pa.int64())], names=["doc_id", "n_tokens", "ids", "width", "tie"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, width int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, width int, tie long")
 
 
 def _ids(raw: bytes, width: int) -> np.ndarray:
@@ -172,17 +287,13 @@ def frequency_ranks(encoded: DataFrame) -> DataFrame:
     """(rank, id, n): ids by falling frequency; as many rows as the vocabulary has at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(_ids(raw, width))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
-                total[: len(found)] += found
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    counts = encoded.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for raw in batch.column(0).to_pylist():
+                total = np.frombuffer(raw, dtype=np.int64)
+                used = np.flatnonzero(total)
+                yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    counts = encoded.where(F.col("n_tokens") == COUNTS).select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sorted(((r["id"], r["n"]) for r in counts.collect()), key=lambda x: (-x[1], x[0]))
     return encoded.sparkSession.createDataFrame([(k, i, n) for k, (i, n) in enumerate(rows)], "rank long, id long, n long")
 
@@ -194,6 +305,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     spark = docs.sparkSession
     encoded = written(encode_documents(docs, tokenizer_path, end_id), "token-ids")
     ranks = frequency_ranks(encoded)
+    documents = encoded.where(F.col("n_tokens") != COUNTS)
     ranks.coalesce(1).write.parquet(f"{folder}/ranks")
     found = ranks.collect()
     table = np.zeros(1 + max((r["id"] for r in found), default=0), dtype=np.uint32)
@@ -204,11 +316,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq, first, rank_of = TaskContext.get().partitionId(), 0, 0, shared.value
         for batch in batches:
-            counts, streams, firsts = batch.column(1).to_pylist(), [], []
-            for raw, width, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), counts):
-                streams.append(encode_ranks(rank_of[_ids(raw, width)]))
-                firsts.append(first)
-                first += n
+            counts, raws, streams = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            width = batch.column(3)[0].as_py() if counts else 2
+            for a, b in _groups(counts):
+                streams += encode_many(rank_of[_ids(b"".join(raws[a:b]), width)], counts[a:b])
+            firsts = [first, *(first + x for x in accumulate(counts))]
+            first = firsts.pop()
             k = len(counts)
             yield pa.record_batch(
                 [pa.array([shard] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), pa.array(firsts, pa.int64()), batch.column(0), batch.column(1), pa.array([x[0] for x in streams], pa.binary()), pa.array([x[1] for x in streams], pa.binary())],
@@ -216,8 +329,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             )
             seq += k
 
-    tie = F.xxhash64("ids")
-    dealt = encoded.withColumn("tie", tie).repartitionByRange(partitions_for(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt = documents.repartitionByRange(partitions_for(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     coded = dealt.select("doc_id", "n_tokens", "ids", "width").mapInArrow(code, "shard int, seq long, first long, doc_id long, n_tokens long, control binary, data binary")
     coded.write.option("compression", "zstd").parquet(f"{folder}/tokens")
     discard(encoded)
@@ -230,7 +342,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_digest(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), read back from the files."""
-    return _read(spark, folder, "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    return _read(spark, folder, "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4", copy=False)))
 
 
 def _read(spark: SparkSession, folder: str, column: str, make) -> DataFrame:
@@ -248,7 +360,11 @@ def _read(spark: SparkSession, folder: str, column: str, make) -> DataFrame:
         id_of = shared.value
         for batch in batches:
             shards, firsts, counts, control, data = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
-            out = [make(id_of[decode_ranks(c, d, n)]) for c, d, n in zip(control, data, counts)]
+            out = []
+            for a, b in _groups(counts):
+                ids = id_of[decode_many(list(zip(control[a:b], data[a:b])), counts[a:b])]
+                ends = [0, *accumulate(counts[a:b])]
+                out += [make(ids[x:y]) for x, y in zip(ends, ends[1:])]
             starts = [base[s] + f for s, f in zip(shards, firsts)]
             yield pa.record_batch([batch.column(2), pa.array(starts, pa.int64()), batch.column(3), pa.array(out, kind_of)], names=["doc_id", "start", "n_tokens", name])
 

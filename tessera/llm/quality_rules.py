@@ -168,7 +168,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
         .orderBy(F.md5(F.col("doc_id").cast("string")), "quality")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(some, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bounded: texts aren't shuffled
 
 
 def _thresholds(sample: DataFrame) -> dict[str, list[float]]:

@@ -2,8 +2,11 @@
 
 Tokens (words: runs of characters other than space and ``\\x09``-``\\x0D``) are summed for each
 cell source x language x topic.  Raking scales the cells in turn to the target marginals of
-source, language and topic until all of them fit; a document is then kept with probability
-``scale`` x (fitted / present tokens of its cell), by a hash of its id and text.
+source, language and topic until all of them fit.  Probabilities in proportion to fitted / present
+tokens would exceed 1 in thin cells, and cutting them off there misses the targets; so the
+sample's are raked once more, within 1, for the largest sample (``share`` of the tokens at
+most) that meets the marginals of the fitted cells.  A document is kept by a hash of its id
+and text.  :func:`mixture_report` is bound to its SQL, which cuts probabilities off at 1.
 
 The number of cells is bounded by the targets: values without a target of their own fall
 into ``OTHER``.  So the fitted table has at most |sources| x |languages| x |topics| rows,
@@ -20,9 +23,11 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,8 @@ TOPICS = {
 }
 #: Raking steps between two looks at the residual, most looks, residual that will do.
 STEPS, LOOKS, FIT = 8, 6, 1e-9
+#: Raking within bounds: most rounds, difference (as a share of the sample) that will do, sizes tried.
+ROUNDS, CLOSE, SIZES = 400, 1e-6, 14
 
 
 @dataclass(frozen=True)
@@ -50,7 +57,7 @@ class Targets:
     source: dict[str, float]
     lang: dict[str, float]
     topic: dict[str, float]
-    #: Tokens wanted, as a share of those present, before probabilities are cut off at 1.
+    #: Tokens wanted, as a share of those present: the sample's at most (the SQL cuts probabilities off at 1 after it).
     share: float = 0.9
     seed: str = "mix-1"
     topics: dict[str, str] = field(default_factory=lambda: dict(TOPICS))
@@ -124,15 +131,81 @@ def fitted_cells(documents: DataFrame, targets: Targets) -> DataFrame:
     return cells.coalesce(1).withColumn("probability", F.round(share, 9))
 
 
+def _bounded(present: np.ndarray, groups: list[list[np.ndarray]], wanted: list[list[float]]) -> np.ndarray | None:
+    """min(1, product of a factor a value), so that each group of cells holds its wanted tokens; None if not found."""
+    factors = [np.ones(len(g)) for g in groups]
+    place = [np.empty(len(present), int) for _ in groups]
+    for at, members in zip(place, groups):
+        for k, cells in enumerate(members):
+            at[cells] = k
+    for _ in range(ROUNDS):
+        for d, members in enumerate(groups):
+            others = np.prod([factors[e][place[e]] for e in range(len(groups)) if e != d], axis=0)
+            for k, cells in enumerate(members):
+                y, n = others[cells], present[cells]
+                order = np.argsort(-y)
+                y, n = y[order], n[order]
+                # The first j cells are at 1; the factor that the others need must not lift the next one over 1.
+                full = np.concatenate(([0.0], np.cumsum(n)[:-1]))
+                open_ = np.cumsum((n * y)[::-1])[::-1]
+                f = (wanted[d][k] - full) / open_
+                fits = np.flatnonzero(f * y <= 1 + 1e-12)
+                factors[d][k] = max(f[fits[0]], 1e-300) if len(fits) else 1 / y[-1]
+        p = np.minimum(1.0, np.prod([factors[e][place[e]] for e in range(len(groups))], axis=0))
+        held = [[(present[c] * p[c]).sum() for c in members] for members in groups]
+        if max(abs(h - x) for a, b in zip(held, wanted) for h, x in zip(a, b)) <= CLOSE * sum(wanted[0]):
+            return p
+    return None
+
+
+def bounded_probabilities(cells: list[tuple], share: float) -> list[float]:
+    """Probabilities of cells (source, language, topic, tokens, w) whose sample has the marginals of ``w``."""
+    live = [k for k, c in enumerate(cells) if c[3] and c[4] > 0]
+    out = [0.0] * len(cells)
+    if not live:
+        return out
+    present = np.array([float(cells[k][3]) for k in live])
+    w = np.array([cells[k][4] for k in live])
+    w, total = w / w.sum(), sum(c[3] or 0 for c in cells)
+    groups, goals = [], []
+    for d in range(3):
+        names = np.array([cells[k][d] for k in live])
+        groups.append([np.flatnonzero(names == x) for x in sorted(set(names))])
+        goals.append([w[g].sum() for g in groups[-1]])
+    # In proportion to w every size up to the scarcest cell's is met; no value has more than its tokens.
+    low = min(share * total, (present / w).min())
+    high = min(share * total, min(present[g].sum() / goal for gs, xs in zip(groups, goals) for g, goal in zip(gs, xs)))
+    best = np.minimum(1.0, low * w / present)
+    size = high
+    for _ in range(SIZES if high > low else 0):
+        p = _bounded(present, groups, [[size * x for x in xs] for xs in goals])
+        low, high, best = (low, size, best) if p is None else (size, high, p)
+        if low == high:
+            break
+        size = (low * high) ** 0.5
+    for k, x in zip(live, best):
+        out[k] = float(x)
+    return out
+
+
+def met_cells(fitted: DataFrame, targets: Targets) -> DataFrame:
+    """``fitted`` with probabilities that meet its marginals; the targets bound the rows that the driver sees."""
+    names = ["_source", "_lang", "topic", "tokens", "w"]
+    rows = sorted((tuple(r) for r in fitted.select(*names).collect()), key=lambda r: r[:3])
+    found = [dict(zip([*names, "probability"], (*r, round(p, 9)))) for r, p in zip(rows, bounded_probabilities(rows, targets.share))]
+    schema = "array<struct<_source:string,_lang:string,topic:string,tokens:bigint,w:double,probability:double>>"
+    return fitted.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(found)), schema)))
+
+
 def chance(seed: str) -> Column:
     """A number from [0, 1) by the md5 of seed, id and text."""
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def _with_chances(placed: DataFrame, targets: Targets, cells: DataFrame) -> DataFrame:
+def _with_chances(placed: DataFrame, factors: DataFrame) -> DataFrame:
     """``placed`` with the probability of its cell and ``kept`` (u is there already)."""
-    factors = written(fitted_cells(cells, targets), "mix-factors")
+    factors = written(factors, "mix-factors")
     factors = factors.select(*(F.col(c).alias(f"_f{k}") for k, c in enumerate(("_source", "_lang", "topic"))), "probability")
     on = (F.col("_source") == F.col("_f0")) & (F.col("_lang") == F.col("_f1")) & (F.col("topic") == F.col("_f2"))
     out = placed.join(F.broadcast(factors), on, "left").drop("_f0", "_f1", "_f2", "_source", "_lang")
@@ -143,7 +216,8 @@ def mixed_documents(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame
     """``docs`` with n_words, topic, probability, u and ``kept``."""
     placed = with_cells(docs, targets)
     # Only the cells' columns are needed to count; texts are read again for the result.
-    return _with_chances(placed.withColumn("u", chance(targets.seed)), targets, placed.select("n_words", "_source", "_lang", "topic"))
+    fitted = fitted_cells(placed.select("n_words", "_source", "_lang", "topic"), targets)
+    return _with_chances(placed.withColumn("u", chance(targets.seed)), met_cells(fitted, targets))
 
 
 def sample_mixture(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
@@ -153,13 +227,13 @@ def sample_mixture(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
 
 
 def mixture_report(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
-    """One row a document: its cell's probability and whether it is sampled.
+    """One row a document: its cell's probability, cut off at 1 as in the SQL, and whether that keeps it.
 
     Texts are read once; a table of a few columns stands for them afterwards.
     """
     placed = with_cells(docs.select("doc_id", "text", "source", "lang"), targets).withColumn("u", chance(targets.seed))
     placed = written(placed.select("doc_id", "n_words", "_source", "_lang", "topic", "u"), "mix-documents")
-    out = _with_chances(placed, targets, placed.select("n_words", "_source", "_lang", "topic"))
+    out = _with_chances(placed, fitted_cells(placed.select("n_words", "_source", "_lang", "topic"), targets))
     return out.select("doc_id", "n_words", "topic", "probability", "kept")
 
 

@@ -13,8 +13,9 @@ path (tag, class and id from the root down).  In the merged tree
 Branches below THRESHOLD on hosts with at least MIN_PAGES pages are removed from each page.
 
 What HTML itself says comes first, because invented boilerplate needn't repeat: elements
-such as nav, footer or script, and classes such as ``ad`` or ``cookie-notice``, are noise;
-inside article or main (where a page has one) everything else is kept and everything
+such as nav, footer or script, and classes such as ``ad`` or ``cookie-notice`` (whole names
+of such words only), are noise, but a name loses where it would leave a page without its
+article or main; inside article or main (where a page has one) everything else is kept and everything
 outside goes.  The style tree decides about pages and branches of neither kind.
 
 Defined results
@@ -82,12 +83,13 @@ _NAME_PARTS = re.compile(r"[a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "noise", "main", "children", "parent", "text")
+    __slots__ = ("tag", "path", "noise", "main", "children", "parent", "text", "named")
 
     def __init__(self, tag: str, path: int, noise: bool, main: bool, parent: _Element | None) -> None:
         self.tag, self.path, self.noise, self.main, self.parent = tag, path, noise, main, parent
         self.children: list[str] = []
         self.text: list[str] = []
+        self.named = False
 
 
 def _hash(value: str) -> int:
@@ -108,18 +110,44 @@ def _path(parent: int, label: str) -> int:
 
 
 def _noise(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
+    """Noise by what HTML says itself."""
     if tag in _NOISE_TAGS or tag == "header" and not in_main:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in _NOISE_ROLES:
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return any(x in _NOISE_NAMES for x in _NAME_PARTS.findall(names)) and not (in_main and "header" in names and tag == "header")
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in _NOISE_ROLES
+
+
+def _named_noise(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
+    """Noise by a class or an id that consists of noise words."""
+    if tag in ("html", "body") or "class" not in attributes and "id" not in attributes:
+        return False
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    words = (_NAME_PARTS.findall(x) for x in names)
+    return any(x and _NOISE_NAMES.issuperset(x) for x in words) and not (in_main and tag == "header" and any("header" in x for x in names))
 
 
 def parse(source: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
     """((element, text) of every block in page order, every element)."""
+    blocks, elements = _parsed(source, frozenset())
+    if any(e.main for e, _ in blocks):
+        return blocks, elements
+    # Elements whose name alone makes noise of an article or main, where the page has no other.
+    place = {id(e): k for k, e in enumerate(elements)}
+    wraps = set()
+    for e in elements:
+        if e.tag in _MAIN and e.noise:
+            above, x = set(), e
+            while x is not None and x.noise:
+                if x.named:
+                    above.add(place[id(x)])
+                x = x.parent
+            wraps |= above
+    return _parsed(source, frozenset(wraps)) if wraps else (blocks, elements)
+
+
+def _parsed(source: str, spared: frozenset[int]) -> tuple[list[tuple[_Element, str]], list[_Element]]:
+    """What :func:`parse` gives; names of the elements numbered in ``spared`` don't count."""
     root = _Element("#root", 0, False, False, None)
     node, blocks, elements = root, [], []
     run: list[str] = []
@@ -183,9 +211,11 @@ def parse(source: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
         if raw and not raw.isspace():
             for a in _ATTRIBUTE.finditer(raw):
                 attributes.setdefault(a.group(1).lower(), entities.unescape((a.group(2) or "").strip("\"'")))
-        noise = node.noise or _noise(tag, attributes, node.main)
+        named = bool(attributes) and len(elements) not in spared and _named_noise(tag, attributes, node.main)
+        noise = node.noise or named or _noise(tag, attributes, node.main)
         label = tag + "".join(f".{x}" for x in sorted(attributes.get("class", "").split())) + (f"#{attributes['id']}" if attributes.get("id") else "")
         made = _Element(tag, _path(node.path, label), noise, node.main or tag in _MAIN and not noise, node)
+        made.named = named
         if tag in _BLOCK or noise and not node.noise:
             flush(node)
         node.children.append(label)

@@ -64,3 +64,18 @@ def test_joined_by_host_where_branches_are_many(site, monkeypatch):
 
 def test_empty(site):
     assert H.extract(site.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<div class="layout has-sidebar"><article><p>a</p></article></div>', "a"),
+        ('<div id="page" class="no-header nav-open"><main><p>a</p></main></div>', "a"),
+        ('<div class="widget"><div class="menu"><article><p>a</p></article></div><p>w</p></div>', "a"),
+        ('<article><h1 class="article-header">T</h1><p class="legal-analysis">a</p><p class="share-prices">b</p><div class="related-work">c</div><p id="comment-on-x">d</p></article>', "T\na\nb\nc\nd"),
+        # Still noise: whole names, and an article among comments beside the page's own.
+        ('<article><p class="x ad-banner">n</p><p>a</p></article><div class="comments"><article>c</article></div>', "a"),
+    ],
+)
+def test_names_are_whole_and_spare_the_article(source, want):
+    assert H.main_text(source) == want

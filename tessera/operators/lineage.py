@@ -17,6 +17,8 @@ def ancestors(revisions: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -
     spark = revisions.sparkSession
     revisions.select("id", "parent_id").createOrReplaceTempView("_lineage_revisions")
     starts.createOrReplaceTempView("_lineage_starts")
+    # The depth bounds the walk; Spark's own limit of a million rows would end it with an error.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark.sql(f"""
         WITH RECURSIVE walk(start, id, depth) MAX RECURSION LEVEL {int(depth) + 1} AS (
           SELECT start, start, 0 FROM _lineage_starts

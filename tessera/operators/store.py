@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +37,29 @@ def hydrate(tops: DataFrame, blobs: DataFrame) -> DataFrame:
     return tops.select("body_id").join(whole, "body_id", "left").select("body_id", F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
 
 
-def closure(roots: DataFrame, links: DataFrame, depth: int = 32) -> DataFrame:
-    """(root, cid, depth) of everything that roots (root) reach over links (cid, target), least depth each."""
-    spark = roots.sparkSession
-    roots.createOrReplaceTempView("_closure_roots")
-    links.createOrReplaceTempView("_closure_links")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(root, cid, depth) AS (
-          SELECT root, root, 0 FROM _closure_roots
-          UNION ALL
-          SELECT r.root, l.target, r.depth + 1 FROM reach r JOIN _closure_links l ON l.cid = r.cid WHERE r.depth < {int(depth)}
-        )
-        SELECT root, cid, min(depth) AS depth FROM reach GROUP BY root, cid
-    """)
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder (``spark.checkpoint.dir``, or one of our own where it is unset)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
+def closure(roots: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, cid, depth) of everything that roots (root) reach over links (cid, target), least depth each.
+
+    Links are followed until they lead to nothing new, at most ``depth`` times where it is given.
+    """
+    links = _kept(links.select("cid", "target").distinct())
+    edge = _kept(roots.select("root", F.col("root").alias("cid"), F.lit(0).alias("depth")).distinct())
+    parts, steps = [edge], 0
+    while (depth is None or steps < depth) and not edge.isEmpty():
+        steps += 1
+        step = edge.join(links, "cid").select("root", F.col("target").alias("cid"), F.lit(steps).alias("depth")).distinct()
+        seen = reduce(DataFrame.unionByName, parts)
+        edge = _kept(step.join(seen.select("root", "cid"), ["root", "cid"], "left_anti"))
+        parts = [*parts, edge] if len(parts) < 16 else [_kept(seen), edge]  # plans of long chains stay small
+    return reduce(DataFrame.unionByName, parts)
 
 
 def chunks(size: Column, chunk: int) -> Column:

@@ -22,7 +22,8 @@ Defined results
 ---------------
 * null text stays null, empty and entity-less text stays as it is;
 * repeated rows and copies get equal results; equal entities of different type are apart;
-* a name whose list is used up gets a number behind it (so that distinctness holds);
+* a name whose list is used up gets a number behind it (so that distinctness holds), from a range
+  that grows tenfold with each draw;
 * extra columns are carried along by :func:`replace_private`; ``n_entities`` is reserved;
 * an empty table gives no rows.
 """
@@ -150,7 +151,9 @@ def _drawn(key: str) -> Column:
             # The last of several names, or a lone one, is the family's.
             words = "split(normal, ' ')"
             lists.append(f"when class = '{gender}-{script}' then array_join(transform({words}, (n, i) -> if(i = size({words}) - 1, {last}, {given})), ' ')")
-    person = f"concat(case {' '.join(lists)} end, if(attempt < 20, '', concat(' ', cast(attempt as string))))"
+    # 100 numbers at the 21st draw, then ten times as many at each, up to 10^12.
+    number = f"{draw(98)} % cast(pow(10, least(attempt - 18, 12)) as bigint)"
+    person = f"concat(case {' '.join(lists)} end, if(attempt < 20, '', concat(' ', cast({number} as string))))"
     return F.expr(
         f"case when kind = 'email' then {email} when kind = 'ip' then {octets} when kind = 'card' then {card} when kind = 'person' then {person}"
         rf" when kind = 'secret' and normal rlike '^[0-9a-f]+$' then {hexed} else {plain} end"

@@ -63,3 +63,13 @@ def test_odd(odd, none):
     assert out.columns == [*odd.columns, "n_entities"]
     assert sorted((str(r[:-1]) for r in out.collect())) == sorted(str(tuple(r)) for r in odd.collect())
     assert P.replace_private(none).collect() == []
+
+
+def test_thousands_of_titled_surnames(spark):
+    """Far more than the lists' names, with and without one number each."""
+    letters = "abcdefghijklmnopqrst"
+    names = ["Q" + "".join(letters[k // 20**j % 20] for j in range(3)) for k in range(4000)]
+    entities = P.described(spark.createDataFrame([(f"Mr {n}",) for n in names], "entity string"))
+    out = P.assign_surrogates(entities).collect()
+    assert len(out) == len({r.surrogate.lower() for r in out}) == 4000
+    assert all(re.fullmatch(r"(\w+)( \d+)?", r.surrogate).group(1) in P.FAMILY["latin"] for r in out)

@@ -37,11 +37,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is
+    unset and one machine runs everything."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
             current = spark.sparkContext.getCheckpointDir()
         root = current
@@ -56,6 +59,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # Gone with the application at the latest; what a lazy result still reads can't be deleted before.
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -86,9 +92,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out
 
 
-def partitions_for(spark: SparkSession, df: DataFrame | None = None, floor: int = 1) -> int:
-    """Partitions of an explicit repartitioning: the session's own setting."""
-    return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of a stored table that one task of an explicit repartitioning takes.
+TASK_BYTES = 64 << 20
+
+
+def partitions_for(df: DataFrame, times: float = 1.0) -> int:
+    """Partitions of an explicit repartitioning of ``times`` the bytes of a table made by :func:`written`:
+    the session's own setting, or more where a task would get more than ``TASK_BYTES``."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size * times) // TASK_BYTES + 1)
 
 
 _CACHES: list[dict] = []

@@ -19,26 +19,34 @@ Defined results
 ---------------
 * null or empty text: the end id alone;  * empty table: empty files, no rows;
 * null ``doc_id`` sorts first; repeated rows and equal ids stay apart, ordered by content;
+* strings of added tokens in a text (``<|endoftext|>``) become those tokens, as the library has it;
 * extra columns of ``docs`` aren't written; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import discard, partitions_for, shared_path, sole, written
 
-#: Chunks of each of two generations that a worker remembers the ids of.
-CACHE_CHUNKS = 800_000
+#: Chunks that a worker remembers the ids of before it starts afresh.
+CACHE_CHUNKS = 2_000_000
+#: Single matches, parts of new chunks, that it remembers.
+CACHE_MATCHES = 400_000
+#: Characters of texts that are encoded at once, about.
+GROUP_BYTES = 32 << 20
 #: Marks the rows that carry a task's token counts.
 COUNTS = -1
 
@@ -120,9 +128,10 @@ def _groups(counts: list[int]) -> Iterator[tuple[int, int]]:
 
 # -- tokenising -----------------------------------------------------------------------
 
-#: White space, in the widest sense of the pattern's and Python's, other than blank and line feed.
-_RARE = tuple(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n")
-_ASCII_RARE = tuple(x for x in _RARE if x.isascii())
+#: White space, in the widest sense of the pattern's and Python's.
+_SPACES = "".join(f"\\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace())
+#: Some blank of the text follows white space or starts the text.
+_SOME_BLANKS = rf"[{_SPACES}] |\A "
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
@@ -132,98 +141,134 @@ def _byte_alphabet() -> dict[int, str]:
     return {c: chr(c) for c in seen} | {c: chr(0x100 + k) for k, c in enumerate(sorted(set(range(256)) - seen))}
 
 
-class _Remembered(dict):
-    """What ``one`` makes of letters and ``make`` of other strings, for two generations of strings."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.one(key) if key.isalpha() else self.make(key)
-        self[key] = found
-        if len(self) > CACHE_CHUNKS:
-            self.older = dict(self)
-            self.clear()
-        return found
-
-
-class _Chunks(_Remembered):
-    """chunk -> its ids as bytes; ``lead`` is the blank that was cut off before it, if any."""
-
-    def __init__(self, lead: str, owner: ChunkTokenizer) -> None:
-        super().__init__()
-        self.lead, self.owner = lead, owner
-        self.alphabet = _byte_alphabet()
-        self.mapped_lead = lead.translate(self.alphabet)
-        self.tokenize = owner.tokenizer.model.tokenize
-
-    def one(self, piece: str) -> bytes:
-        """A single match of the pattern goes to the library's model, in its alphabet of bytes."""
-        if piece.isascii() and piece.isprintable():
-            mapped = self.mapped_lead + piece
-        else:
-            mapped = (self.lead + piece).encode().decode("latin-1").translate(self.alphabet)
-        return array(self.owner.code, [x.id for x in self.tokenize(mapped)]).tobytes()
-
-    def make(self, chunk: str) -> bytes:
-        """The ids of a chunk that isn't letters only."""
-        core = chunk.rstrip(_MARKS)
-        heads = self.owner.heads
-        if not core and chunk:  # marks only
-            return self.one(chunk)
-        if core.isalpha():  # letters, then marks: two matches
-            return self[core] + (heads[chunk[len(core) :]] if core != chunk else b"")
-        lines = chunk.split("\n")
-        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            # A lone line feed between other characters is a match by itself.
-            feed = self.owner.feed
-            return self[lines[0]] + b"".join(feed + heads[x] for x in lines[1:])
-        return array(self.owner.code, self.owner.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids).tobytes()
-
-
 class ChunkTokenizer:
     """Ids of whole texts, remembering the ids of chunks.
 
     The byte-level pattern never lets a match run from a character that isn't white space
     into a blank, so a text can be cut before each such blank and every chunk encoded by
-    itself: the ids are those of the whole text.  Most chunks are words seen before; a new
-    one that is plainly one or two matches goes to the library's model directly, any other
-    through its whole tokenizer.
+    itself: the ids are those of the whole text.  Arrow numbers the chunks of a batch,
+    looks them up among those seen before and puts their ids together; only new chunks
+    come to Python.  One that is plainly a match or two goes to the library's model, any
+    other through its whole tokenizer.
+
+    That holds for byte-level pair encodings without normaliser, prefix blank and further
+    steps (``chunked``).  With any other vocabulary file, and for a text that contains the
+    string of an added token, the library encodes the whole text.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize = self.tokenizer.model.tokenize
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.chunked = _byte_level(json.loads(tokenizer_json))
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.heads = _Chunks("", self)
-        self.rest = _Chunks(" ", self)
-        self.feed = self.heads.one("\n")
+        self.alphabet = _byte_alphabet()
+        self.blank = self.alphabet[0x20]
         self.cut = re.compile(r"(?<=\S) ")
+        self.clear()
 
-    def split(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if "" in parts or "\n " in text or any(x in text for x in (_ASCII_RARE if text.isascii() else _RARE)):
-            return self.cut.split(text)  # some blank may follow white space
-        return parts
+    def clear(self) -> None:
+        self.matches: dict[str, bytes] = {}
+        self.chunks, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
 
-    def encode(self, texts: Iterable[str], end_id: int) -> list[bytes]:
-        """The ids of each text and the end id, as bytes of ``self.code``."""
+    def match(self, piece: str) -> bytes:
+        """The ids of a single match of the pattern: the library's model, in its alphabet of bytes."""
+        found = self.matches.get(piece)
+        if found is None:
+            if piece.isascii() and piece.isprintable():
+                mapped = self.blank + piece[1:] if piece[0] == " " else piece
+            else:
+                mapped = piece.encode().decode("latin-1").translate(self.alphabet)
+            if len(self.matches) >= CACHE_MATCHES:
+                self.matches.clear()
+            found = self.matches[piece] = array(self.code, [x.id for x in self.tokenize(mapped)]).tobytes()
+        return found
+
+    def chunk(self, chunk: str, lead: str = " ") -> bytes:
+        """The ids of a chunk and of the blank before it, if any."""
+        if chunk.isalpha():
+            return self.match(lead + chunk)
+        core = chunk.rstrip(_MARKS)
+        if not core and chunk:  # marks only
+            return self.match(lead + chunk)
+        if core.isalpha():  # letters, then marks: two matches
+            return self.match(lead + core) + self.match(chunk[len(core) :])
+        lines = chunk.split("\n")
+        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            # A lone line feed between other characters is a match by itself.
+            return self.match("\n").join([self.chunk(lines[0], lead), *(self.chunk(x, "") for x in lines[1:])])
+        return array(self.code, self.tokenizer.encode(lead + chunk, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: pa.Array, end_id: int = 0) -> pa.Array:
+        """The ids of each text (no nulls) and the end id, as bytes of ``self.code``."""
         end = array(self.code, [end_id]).tobytes()
-        out = []
-        for text in texts:
-            head, *rest = self.split(text)
-            out.append(self.heads[head] + b"".join(map(self.rest.__getitem__, rest)) + end)
+        if not self.chunked:
+            return self._whole(texts, end)
+        whole = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        some = pc.match_substring_regex(texts, _SOME_BLANKS).to_numpy(zero_copy_only=False) & ~whole
+        if not whole.any() and not some.any():
+            return self._gathered(pc.split_pattern(texts, " "), end)
+        kinds = np.where(whole, 2, some)
+        parts = [texts.filter(pa.array(kinds == k)) for k in range(3)]
+        cut = pa.array([self.cut.split(x) for x in parts[1].to_pylist()], pa.list_(pa.string()))
+        found = [self._gathered(pc.split_pattern(parts[0], " "), end), self._gathered(cut, end), self._whole(parts[2], end)]
+        back = np.argsort(np.argsort(kinds, kind="stable"), kind="stable")
+        return pa.concat_arrays(found).take(pa.array(back))
+
+    def _whole(self, texts: pa.Array, end: bytes) -> pa.Array:
+        found = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
+        return pa.array([array(self.code, x.ids).tobytes() + end for x in found], pa.binary())
+
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The place of each of the distinct ``chunks`` in ``self.ids``."""
+        found = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(pc.is_null(found))
+        out = found.fill_null(0).to_numpy().copy()
+        if len(new):
+            out[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.chunks), len(self.chunks) + len(new))
+            self.chunks = pa.concat_arrays([self.chunks, new])
+            self.ids = pa.concat_arrays([self.ids, pa.array(list(map(self.chunk, new.to_pylist())), pa.binary())])
         return out
 
+    def _gathered(self, lists: pa.ListArray, end: bytes) -> pa.Array:
+        n = len(lists)
+        if not n:
+            return pa.array([], pa.binary())
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.clear()
+        values, bounds = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = values.dictionary_encode()
+        places = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        # Texts begin with a chunk that has no blank before it, and end with the end id.
+        first = bounds - np.diff(bounds, prepend=0)
+        heads = pa.array([self.chunk(x, "") for x in values.take(pa.array(first)).to_pylist()] + [end], pa.binary())
+        places[first] = len(self.ids) + np.arange(n)
+        places = np.insert(places, bounds, len(self.ids) + n)
+        flat = pa.concat_arrays([self.ids, heads]).take(pa.array(places))
+        offsets = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset :][np.concatenate([[0], bounds + np.arange(1, n + 1)])]
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets)), flat.buffers()[2]])
+
+
+def _byte_level(spec: dict) -> bool:
+    """Whether texts may be cut at blanks: the plain byte-level pattern and nothing before or behind it."""
+    model, before, behind = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {}
+    return (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True)
+        and not before.get("add_prefix_space")
+        and behind.get("type") in (None, "ByteLevel")
+        and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    )
+
 
 _TOKENIZERS: dict[int, ChunkTokenizer] = {}
 
@@ -248,6 +293,19 @@ class _Shared:
         return self.broadcast.value
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and text, put together up to about GROUP_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """(doc_id, n_tokens, ids, width, tie): the ids of every whole text and the end id, two or four bytes
     each, and a hash of them that orders equal doc_ids.
@@ -263,13 +321,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> D
         own = _tokenizer(shared)
         width = array(own.code).itemsize
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            found = own.encode(["" if x is None else x for x in batch.column(1).to_pylist()], end_id)
-            yield pa.record_batch(
-                [batch.column(0), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array([width] * len(found), pa.int32()), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in found], pa.int64())],
-                names=["doc_id", "n_tokens", "ids", "width", "tie"],
-            )
-            some = np.bincount(_ids(b"".join(found), width))
+        for batch in _grouped(batches):
+            raw = own.encode(batch.column(1).cast(pa.string()).fill_null(""), end_id)
+            sizes = pc.divide(pc.binary_length(raw).cast(pa.int64()), width)
+            ties = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) >> 1 for x in raw), dtype=np.int64, count=len(raw))
+            yield pa.record_batch([batch.column(0), sizes, raw, pa.array(np.full(len(raw), width, dtype=np.int32)), pa.array(ties)], names=["doc_id", "n_tokens", "ids", "width", "tie"])
+            some = np.bincount(_ids(raw.buffers()[2], width)[: pc.sum(sizes).as_py()])
             if len(some) > len(total):
                 total = np.concatenate([total, np.zeros(len(some) - len(total), dtype=np.int64)])
             total[: len(some)] += some
@@ -329,7 +386,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             )
             seq += k
 
-    dealt = documents.repartitionByRange(partitions_for(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # Rows equal in id and text are alike, so any order of theirs will do: a salt lets them be split.
+    salted = documents.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = salted.repartitionByRange(partitions_for(encoded), "doc_id", "tie", "salt").sortWithinPartitions("doc_id", "tie")
     coded = dealt.select("doc_id", "n_tokens", "ids", "width").mapInArrow(code, "shard int, seq long, first long, doc_id long, n_tokens long, control binary, data binary")
     coded.write.option("compression", "zstd").parquet(f"{folder}/tokens")
     discard(encoded)

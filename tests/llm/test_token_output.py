@@ -1,7 +1,9 @@
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,9 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    out = Tokenizer.from_file(PATH)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(PATH)
 
 
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=60))
@@ -31,14 +31,36 @@ CHUNKED = T.ChunkTokenizer(open(PATH, encoding="utf-8").read())
 PIECES = st.sampled_from(["a", "word", "é", "don't", "x's", "!!", "...", "7", " ", "  ", "\n", "\n\n", "\t", "\xa0", " ", "\x1c", "\x00", "<|endoftext|>", "日本", ",", "A"])
 
 
+PLAIN = Tokenizer.from_file(PATH)
+
+
 @settings(max_examples=400, deadline=None)
-@given(st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=20))
-def test_chunks_give_the_ids_of_the_whole_text(text):
-    own = Tokenizer.from_file(PATH) if not hasattr(test_chunks_give_the_ids_of_the_whole_text, "t") else test_chunks_give_the_ids_of_the_whole_text.t
-    own.encode_special_tokens = True
-    test_chunks_give_the_ids_of_the_whole_text.t = own
-    want = own.encode(text, add_special_tokens=False).ids + [0]
-    assert T._ids(CHUNKED.encode([text], 0)[0], 2).tolist() == want
+@given(st.lists(st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=20), max_size=4))
+def test_chunks_give_the_ids_of_the_whole_text(texts):
+    want = [PLAIN.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert [T._ids(x.as_py(), 2).tolist() for x in CHUNKED.encode(pa.array(texts, pa.string()), 0)] == want
+
+
+def test_strings_of_added_tokens_are_the_librarys():
+    got = T._ids(CHUNKED.encode(pa.array(["a <|endoftext|> b"]), 0)[0].as_py(), 2).tolist()
+    assert got == [64, 220, 50256, 275, 0]
+
+
+def test_a_full_memory_starts_afresh(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_CHUNKS", 3)
+    monkeypatch.setattr(T, "CACHE_MATCHES", 2)
+    own = T.ChunkTokenizer(open(PATH, encoding="utf-8").read())
+    for text in ["a few more words than fit", "others, then", "a few more words", ""]:
+        assert T._ids(own.encode(pa.array([text]), 0)[0].as_py(), 2).tolist() == PLAIN.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_other_kinds_of_vocabulary_are_left_to_the_library():
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        own = T.ChunkTokenizer(json.dumps(spec | change))
+        library = Tokenizer.from_str(json.dumps(spec | change))
+        text = "Some Words,\nand <|endoftext|> More"
+        assert not own.chunked and T._ids(own.encode(pa.array([text]), 0)[0].as_py(), 2).tolist() == library.encode(text, add_special_tokens=False).ids + [0]
 
 
 def brute(rows, plain):

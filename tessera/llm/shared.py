@@ -6,8 +6,12 @@ import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +138,51 @@ class WordHash(dict):
         return value
 
 
+class Memo:
+    """Pieces of text -> bytes, remembered as Arrow arrays: what ``make`` says of pieces not seen before."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int) -> None:
+        self.make, self.most = make, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces, self.made = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """The place in ``made`` of each of ``pieces`` (repeats allowed); good until the next call."""
+        if len(self.pieces) > self.most:
+            self.clear()
+        coded = pieces.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.pieces)
+        new = coded.dictionary.filter(pc.is_null(found))
+        out = found.fill_null(0).to_numpy().copy()
+        if len(new):
+            out[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+            made = pa.array(self.make(new.to_pylist()), pa.binary())
+            self.pieces, self.made = pa.concat_arrays([self.pieces, new]), pa.concat_arrays([self.made, made])
+        return out[coded.indices.to_numpy()]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after another."""
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]

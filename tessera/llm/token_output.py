@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import discard, partitions_for, shared_path, sole, written
+from tessera.llm.shared import Memo, discard, grouped, partitions_for, shared_path, sole, written
 
 #: Chunks that a worker remembers the ids of before it starts afresh.
 CACHE_CHUNKS = 2_000_000
@@ -170,11 +170,8 @@ class ChunkTokenizer:
         self.alphabet = _byte_alphabet()
         self.blank = self.alphabet[0x20]
         self.cut = re.compile(r"(?<=\S) ")
-        self.clear()
-
-    def clear(self) -> None:
         self.matches: dict[str, bytes] = {}
-        self.chunks, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.known = Memo(lambda new: list(map(self.chunk, new)), CACHE_CHUNKS)
 
     def match(self, piece: str) -> bytes:
         """The ids of a single match of the pattern: the library's model, in its alphabet of bytes."""
@@ -226,32 +223,18 @@ class ChunkTokenizer:
         found = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
         return pa.array([array(self.code, x.ids).tobytes() + end for x in found], pa.binary())
 
-    def _numbers(self, chunks: pa.Array) -> np.ndarray:
-        """The place of each of the distinct ``chunks`` in ``self.ids``."""
-        found = pc.index_in(chunks, value_set=self.chunks)
-        new = chunks.filter(pc.is_null(found))
-        out = found.fill_null(0).to_numpy().copy()
-        if len(new):
-            out[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.chunks), len(self.chunks) + len(new))
-            self.chunks = pa.concat_arrays([self.chunks, new])
-            self.ids = pa.concat_arrays([self.ids, pa.array(list(map(self.chunk, new.to_pylist())), pa.binary())])
-        return out
-
     def _gathered(self, lists: pa.ListArray, end: bytes) -> pa.Array:
         n = len(lists)
         if not n:
             return pa.array([], pa.binary())
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.clear()
         values, bounds = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        coded = values.dictionary_encode()
-        places = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        places = self.known.places(values)
         # Texts begin with a chunk that has no blank before it, and end with the end id.
         first = bounds - np.diff(bounds, prepend=0)
         heads = pa.array([self.chunk(x, "") for x in values.take(pa.array(first)).to_pylist()] + [end], pa.binary())
-        places[first] = len(self.ids) + np.arange(n)
-        places = np.insert(places, bounds, len(self.ids) + n)
-        flat = pa.concat_arrays([self.ids, heads]).take(pa.array(places))
+        places[first] = len(self.known.made) + np.arange(n)
+        places = np.insert(places, bounds, len(self.known.made) + n)
+        flat = pa.concat_arrays([self.known.made, heads]).take(pa.array(places))
         offsets = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset :][np.concatenate([[0], bounds + np.arange(1, n + 1)])]
         return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets)), flat.buffers()[2]])
 
@@ -293,19 +276,6 @@ class _Shared:
         return self.broadcast.value
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of doc_id and text, put together up to about GROUP_BYTES."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= GROUP_BYTES:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """(doc_id, n_tokens, ids, width, tie): the ids of every whole text and the end id, two or four bytes
     each, and a hash of them that orders equal doc_ids.
@@ -321,7 +291,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> D
         own = _tokenizer(shared)
         width = array(own.code).itemsize
         total = np.zeros(0, dtype=np.int64)
-        for batch in _grouped(batches):
+        for batch in grouped(batches, GROUP_BYTES):
             raw = own.encode(batch.column(1).cast(pa.string()).fill_null(""), end_id)
             sizes = pc.divide(pc.binary_length(raw).cast(pa.int64()), width)
             ties = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) >> 1 for x in raw), dtype=np.int64, count=len(raw))

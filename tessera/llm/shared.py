@@ -127,6 +127,15 @@ def text_key(column: str = "text") -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
 
 
+#: The columns of :func:`row_key`.
+ROW_KEY = ["k1", "k2", "d0", "d1"]
+
+
+def row_key() -> dict[str, Column]:
+    """Columns without nulls that stand for a document's id (long) and text: joins on them keep one partitioning."""
+    return text_key() | {"d0": F.col("doc_id").isNull().cast("int"), "d1": F.coalesce("doc_id", F.lit(0).cast("long"))}
+
+
 class WordHash(dict):
     """word (UTF-8 bytes) -> 64-bit hash, remembered per worker up to ``CACHE_WORDS`` words."""
 
@@ -183,6 +192,26 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts, first word of each text and their number); a word is
+    a run of characters other than space and \\x09-\\x0D.  Arrow finds the distinct words of the batch."""
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    known = np.array([digest(x) for x in coded.dictionary.to_pylist()], dtype=np.uint64)
+    real = pc.binary_length(coded.dictionary).to_numpy() > 0  # white space at either end leaves an empty piece
+    at = coded.indices.to_numpy()
+    kept = real[at] if len(at) else np.zeros(0, dtype=bool)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    bounds = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
+    return known[at[kept]], bounds
+
+
+def plain_texts(column) -> pa.Array:
+    """An Arrow string column, null as empty."""
+    return column.cast(pa.string()).fill_null("")
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]

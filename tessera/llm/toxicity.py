@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Memo, discard, grouped, sole, spread, written
+from tessera.llm.shared import Memo, discard, grouped, plain_texts, sole, spread, written
 
 MAX_TOXIC = 1_500
 MAX_CLEAN = 3_000
@@ -62,8 +62,8 @@ COMMON = 32
 #: What single precision may be off by.
 MARGIN = 2e-5
 #: Pieces of text whose terms a worker remembers; bytes of texts that are scored at once.
-CACHE_PIECES = 1_500_000
-GROUP_BYTES = 4 << 20
+CACHE_PIECES = 2_000_000
+GROUP_BYTES = 24 << 20
 GROUP_TEXTS = 512
 #: Terms whose document frequencies make one row.
 SLICE = 4_096
@@ -154,21 +154,24 @@ class Terms:
         raw = at[known].astype(np.int32).tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
-    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, count) of every term of every text, in this order."""
-        none = np.zeros(0, dtype=np.int64)
-        if not len(self.vocabulary) or not len(texts):
-            return none, none, none
+    def vectors(self, texts: pa.Array, step: int = GROUP_TEXTS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(text, term, count) of every term, in this order, and the number of texts, for each ``step`` of ``texts``.
+
+        The pieces of all texts are looked up at once."""
         lists = pc.utf8_split_whitespace(texts)
         places = self.memo.places(lists.flatten())
-        flat = self.memo.made.take(pa.array(places))
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        offsets = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset : flat.offset + len(flat) + 1]
-        first, last = int(offsets[0]), int(offsets[-1])
-        numbers = np.frombuffer(flat.buffers()[2], dtype=np.int32)[first // 4 : last // 4] if last > first else none
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets[ends]) // 4)
-        keys, counts = np.unique(owner * len(self.vocabulary) + numbers, return_counts=True)
-        return keys // len(self.vocabulary), keys % len(self.vocabulary), counts
+        size = max(1, len(self.vocabulary))
+        for at in range(0, len(texts), step):
+            own = ends[at : at + step + 1]
+            flat = self.memo.made.take(pa.array(places[own[0] : own[-1]]))
+            offsets = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset : flat.offset + len(flat) + 1]
+            first, last = int(offsets[0]), int(offsets[-1])
+            numbers = np.frombuffer(flat.buffers()[2], dtype=np.int32)[first // 4 : last // 4] if last > first else np.zeros(0, dtype=np.int32)
+            n = len(own) - 1
+            owner = np.repeat(np.arange(n), np.diff(offsets[own - own[0]]) // 4)
+            keys, counts = np.unique(owner * size + numbers, return_counts=True)
+            yield keys // size, keys % size, counts, n
 
 
 _TERMS: dict[str, Terms] = {}
@@ -183,13 +186,6 @@ def _terms(key: str, vocabulary: np.ndarray) -> Terms:
     return _TERMS[key]
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts without nulls) of at most GROUP_TEXTS rows each."""
-    texts = batch.column(column).cast(pa.string()).fill_null("")
-    for at in range(0, len(texts), GROUP_TEXTS):
-        yield at, texts.slice(at, GROUP_TEXTS)
-
-
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, key: str) -> tuple[int, np.ndarray]:
     """(documents, documents that have each term of ``vocabulary``).
 
@@ -202,8 +198,8 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, key: str) -> t
         own, total = _terms(key, shared.value), np.zeros(size + 1, dtype=np.int64)
         for batch in grouped(batches, GROUP_BYTES):
             total[size] += batch.num_rows
-            for _, texts in _texts(batch, 0):
-                total[:size] += np.bincount(own.vectors(texts)[1], minlength=size)
+            for _, terms, _, _ in own.vectors(plain_texts(batch.column(0))):
+                total[:size] += np.bincount(terms, minlength=size)
         if total[size]:
             for k in range(0, size + 1, SLICE):
                 yield pa.record_batch([pa.array([k // SLICE], pa.int32()), pa.array([total[k : k + SLICE].tobytes()], pa.binary())], names=["slice", "n"])
@@ -301,24 +297,29 @@ class BlockMaxIndex:
         lists = np.bincount(cells, weights=np.repeat(query[seldom], lengths) * self.values[at], minlength=n * width).reshape(n, width)
 
         bounds = dense @ self.maxima.T + lists.reshape(n, -1, BLOCK).max(axis=2) + MARGIN
-        found = np.full((n, width), -1.0)
+        found = np.full((n, width), -1, dtype=np.float32)
 
         def visit(chosen: np.ndarray) -> None:
             for b in range(chosen.shape[1]):
                 texts = np.flatnonzero(chosen[:, b])
                 if len(texts):
                     part = slice(b * BLOCK, (b + 1) * BLOCK)
-                    found[texts, part] = dense[texts] @ self.blocks[b].T + lists[texts, part]
+                    some = dense @ self.blocks[b].T if 2 * len(texts) > n else dense[texts] @ self.blocks[b].T
+                    found[texts, part] = (some[texts] if len(some) > len(texts) else some) + lists[texts, part]
 
-        def kth() -> np.ndarray:
-            return np.partition(found, width - k, axis=1)[:, width - k] if width > k else np.full(n, -1.0)
+        def kth(values: np.ndarray) -> np.ndarray:
+            """The k-th similarity of each text, -1 where there are fewer."""
+            width = values.shape[1]
+            return np.partition(values, width - k, axis=1)[:, width - k] if width > k else np.full(n, -1.0)
 
         # The two most promising blocks set the similarity that all others' bounds must reach.
+        best = np.argsort(-bounds, axis=1, kind="stable")[:, :2]
         first = np.zeros(bounds.shape, dtype=bool)
-        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :2], True, axis=1)
+        np.put_along_axis(first, best, True, axis=1)
         visit(first)
-        visit(~first & (bounds > MARGIN) & (bounds >= (kth() - MARGIN)[:, None]))
-        least = np.maximum(kth() - MARGIN, 0)
+        seen = np.take_along_axis(found.reshape(n, -1, BLOCK), best[:, :, None], axis=1).reshape(n, -1)
+        visit(~first & (bounds > MARGIN) & (bounds >= (kth(seen) - MARGIN)[:, None]))
+        least = np.maximum(kth(found) - MARGIN, 0)
         out = []
         for text in range(n):
             some = np.flatnonzero((found[text] >= least[text]) & (found[text] > 0))
@@ -381,7 +382,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         vocabulary, index = shared.value
         own = _terms(key, vocabulary)
         for batch in grouped(batches, GROUP_BYTES):
-            near = [x for _, texts in _texts(batch, 1) for x in index.nearest(*own.vectors(texts), len(texts))]
+            near = [x for some in own.vectors(plain_texts(batch.column(1))) for x in index.nearest(*some)]
             yield pa.record_batch(
                 [
                     batch.column(0),

@@ -3,10 +3,11 @@
 Tokens (words: runs of characters other than space and ``\\x09``-``\\x0D``) are summed for each
 cell source x language x topic.  Raking scales the cells in turn to the target marginals of
 source, language and topic until all of them fit.  Probabilities in proportion to fitted / present
-tokens would exceed 1 in thin cells, and cutting them off there misses the targets; so the
-sample's are raked once more, within 1, for the largest sample (``share`` of the tokens at
-most) that meets the marginals of the fitted cells.  A document is kept by a hash of its id
-and text.  :func:`mixture_report` is bound to its SQL, which cuts probabilities off at 1.
+tokens would exceed 1 in thin cells, and cutting them off there misses the targets.  So samples
+of SIZES sizes are raked once more at the same time, each pass bounded by the tokens present, to the
+marginals of the fitted cells; the largest that meets them within CLOSE gives the calibrated
+probabilities (the smallest size always does: there nothing is cut off).  A document is kept by
+a hash of its id and text.
 
 The number of cells is bounded by the targets: values without a target of their own fall
 into ``OTHER``.  So the fitted table has at most |sources| x |languages| x |topics| rows,
@@ -18,16 +19,16 @@ Defined results
   document is kept with its cell's probability (0 where the cell has no tokens);
 * equal ids are told apart by their text; repeated rows share their fate;
 * a target whose values hold no tokens can't be met: its weight goes to the others;
+* targets that contradict each other where cells are empty: the marginals of the last pass are met,
+  and :func:`marginals` shows how far they are from the targets;
 * an empty table gives no rows; extra columns are carried along; clashing names (RESULTS) are replaced.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ TOPICS = {
 }
 #: Raking steps between two looks at the residual, most looks, residual that will do.
 STEPS, LOOKS, FIT = 8, 6, 1e-9
-#: Raking within bounds: most rounds, difference (as a share of the sample) that will do, sizes tried.
-ROUNDS, CLOSE, SIZES = 400, 1e-6, 14
+#: Bounded raking: sizes tried at once, closer together at the upper end, passes over the marginals, difference from the marginals (as a share of the sample) that will do.
+SIZES, ROUNDS, CLOSE = 24, 32, 1e-5
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ class Targets:
     source: dict[str, float]
     lang: dict[str, float]
     topic: dict[str, float]
-    #: Tokens wanted, as a share of those present: the sample's at most (the SQL cuts probabilities off at 1 after it).
+    #: The sample's tokens at most, as a share of those present.
     share: float = 0.9
     seed: str = "mix-1"
     topics: dict[str, str] = field(default_factory=lambda: dict(TOPICS))
@@ -114,7 +115,7 @@ def _residual(cells: DataFrame, targets: Targets) -> float:
 
 
 def fitted_cells(documents: DataFrame, targets: Targets) -> DataFrame:
-    """(_source, _lang, topic, tokens, w, probability): a row a cell that has documents."""
+    """(_source, _lang, topic, tokens, w): a row a cell that has documents, w raked to the targets."""
     counts = documents.groupBy("_source", "_lang", "topic").agg(F.sum("n_words").alias("tokens"))
     cells = written(counts.coalesce(1).select("_source", "_lang", "topic", "tokens", F.col("tokens").cast("double").alias("w")), "mix-cells")
     for _ in range(LOOKS):
@@ -126,75 +127,59 @@ def fitted_cells(documents: DataFrame, targets: Targets) -> DataFrame:
         cells = after
         if _residual(cells, targets) <= FIT:
             break
-    present = "sum(tokens) over ()"
-    share = F.expr(f"if(tokens > 0, least(1d, {targets.share!r}D * w * {present} / tokens), 0d)")
-    return cells.coalesce(1).withColumn("probability", F.round(share, 9))
-
-
-def _bounded(present: np.ndarray, groups: list[list[np.ndarray]], wanted: list[list[float]]) -> np.ndarray | None:
-    """min(1, product of a factor a value), so that each group of cells holds its wanted tokens; None if not found."""
-    factors = [np.ones(len(g)) for g in groups]
-    place = [np.empty(len(present), int) for _ in groups]
-    for at, members in zip(place, groups):
-        for k, cells in enumerate(members):
-            at[cells] = k
-    for _ in range(ROUNDS):
-        for d, members in enumerate(groups):
-            others = np.prod([factors[e][place[e]] for e in range(len(groups)) if e != d], axis=0)
-            for k, cells in enumerate(members):
-                y, n = others[cells], present[cells]
-                order = np.argsort(-y)
-                y, n = y[order], n[order]
-                # The first j cells are at 1; the factor that the others need must not lift the next one over 1.
-                full = np.concatenate(([0.0], np.cumsum(n)[:-1]))
-                open_ = np.cumsum((n * y)[::-1])[::-1]
-                f = (wanted[d][k] - full) / open_
-                fits = np.flatnonzero(f * y <= 1 + 1e-12)
-                factors[d][k] = max(f[fits[0]], 1e-300) if len(fits) else 1 / y[-1]
-        p = np.minimum(1.0, np.prod([factors[e][place[e]] for e in range(len(groups))], axis=0))
-        held = [[(present[c] * p[c]).sum() for c in members] for members in groups]
-        if max(abs(h - x) for a, b in zip(held, wanted) for h, x in zip(a, b)) <= CLOSE * sum(wanted[0]):
-            return p
-    return None
-
-
-def bounded_probabilities(cells: list[tuple], share: float) -> list[float]:
-    """Probabilities of cells (source, language, topic, tokens, w) whose sample has the marginals of ``w``."""
-    live = [k for k, c in enumerate(cells) if c[3] and c[4] > 0]
-    out = [0.0] * len(cells)
-    if not live:
-        return out
-    present = np.array([float(cells[k][3]) for k in live])
-    w = np.array([cells[k][4] for k in live])
-    w, total = w / w.sum(), sum(c[3] or 0 for c in cells)
-    groups, goals = [], []
-    for d in range(3):
-        names = np.array([cells[k][d] for k in live])
-        groups.append([np.flatnonzero(names == x) for x in sorted(set(names))])
-        goals.append([w[g].sum() for g in groups[-1]])
-    # In proportion to w every size up to the scarcest cell's is met; no value has more than its tokens.
-    low = min(share * total, (present / w).min())
-    high = min(share * total, min(present[g].sum() / goal for gs, xs in zip(groups, goals) for g, goal in zip(gs, xs)))
-    best = np.minimum(1.0, low * w / present)
-    size = high
-    for _ in range(SIZES if high > low else 0):
-        p = _bounded(present, groups, [[size * x for x in xs] for xs in goals])
-        low, high, best = (low, size, best) if p is None else (size, high, p)
-        if low == high:
-            break
-        size = (low * high) ** 0.5
-    for k, x in zip(live, best):
-        out[k] = float(x)
-    return out
+    return cells
 
 
-def met_cells(fitted: DataFrame, targets: Targets) -> DataFrame:
-    """``fitted`` with probabilities that meet its marginals; the targets bound the rows that the driver sees."""
-    names = ["_source", "_lang", "topic", "tokens", "w"]
-    rows = sorted((tuple(r) for r in fitted.select(*names).collect()), key=lambda r: r[:3])
-    found = [dict(zip([*names, "probability"], (*r, round(p, 9)))) for r, p in zip(rows, bounded_probabilities(rows, targets.share))]
-    schema = "array<struct<_source:string,_lang:string,topic:string,tokens:bigint,w:double,probability:double>>"
-    return fitted.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(found)), schema)))
+#: Goals of a cell's three values, as the bounded raking carries them.
+_GOALS = (("_source", "g_source"), ("_lang", "g_lang"), ("topic", "g_topic"))
+
+
+def _sized(cells: DataFrame, targets: Targets) -> DataFrame:
+    """Each cell SIZES times: a sample size, the shares of the cell's values, and x, the tokens wanted to begin with."""
+    live = cells.coalesce(1).where("tokens > 0 and w > 0").withColumn("w", F.expr("w / sum(w) over ()"))
+    for column, goal in _GOALS:
+        live = live.withColumn(goal, F.expr(f"sum(w) over (partition by {column})")).withColumn(f"n{goal}", F.expr(f"sum(tokens) over (partition by {column})"))
+    wanted = f"{targets.share!r}D * sum(tokens) over ()"
+    room = ", ".join(f"min(n{g} / {g}) over ()" for _, g in _GOALS)  # no value can give more than all of its tokens
+    live = live.withColumn("high", F.expr(f"least({wanted}, {room})")).withColumn("low", F.expr(f"least({wanted}, min(tokens / w) over ())"))
+    sized = live.withColumn("k", F.explode(F.expr(f"sequence(0, {SIZES - 1})"))).withColumn("size", F.expr(f"high * pow(low / high, pow(k / {float(SIZES - 1)!r}D, 2d))"))
+    return sized.select("k", "size", *(c for c, _ in _GOALS), "tokens", *(g for _, g in _GOALS), F.expr("size * w").alias("x"))
+
+
+def _bounded(sized: DataFrame) -> DataFrame:
+    """One pass over the three marginals of each sample: x is scaled so that least(x, tokens) adds up to the goal.
+
+    Within a value, by falling x / tokens, the first rows that a factor lifts above their tokens hold just
+    those; the factor is what the others need, and it is found where it lifts no further row above."""
+    own = ["k", "size", *(c for c, _ in _GOALS), "tokens", *(g for _, g in _GOALS)]
+    for column, goal in _GOALS:
+        part = f"partition by k, {column}"
+        order = f"{part} order by x / tokens desc, _source, _lang, topic"
+        full = f"coalesce(sum(tokens) over ({order} rows between unbounded preceding and 1 preceding), 0)"
+        rest = f"sum(x) over ({order} rows between current row and unbounded following)"
+        sized = sized.selectExpr(*own, "x", f"(size * {goal} - {full}) / {rest} as f", f"row_number() over ({order}) as r")
+        # No such row: all of them are full.
+        found = f"coalesce(min(if(f * x <= tokens, struct(r, f), null)) over ({part}).f, max(tokens / x) over ({part}))"
+        sized = sized.selectExpr(*own, f"x * greatest({found}, 1e-300d) as x")
+    return sized
+
+
+def calibrated_cells(cells: DataFrame, targets: Targets) -> DataFrame:
+    """(_source, _lang, topic, tokens, probability): the largest sample that meets the marginals of ``cells``."""
+    sized = written(_sized(cells, targets), "mix-sizes")
+    for _ in range(ROUNDS // 4):
+        step = sized.coalesce(1)
+        for _ in range(4):
+            step = _bounded(step)
+        after = written(step, "mix-sizes")
+        discard(sized)
+        sized = after
+    sized = sized.withColumn("x", F.expr("least(cast(tokens as double), x)"))
+    off = ", ".join(f"abs(sum(x) over (partition by k, {c}) - size * {g}) / size" for c, g in _GOALS)
+    best = sized.coalesce(1).withColumn("off", F.expr(f"greatest({off})")).withColumn("worst", F.expr("max(off) over (partition by k)"))
+    best = best.withColumn("first", F.expr(f"min(if(worst <= {CLOSE!r}D or k = {SIZES - 1}, k, null)) over ()")).where("k = first")
+    out = cells.coalesce(1).select("_source", "_lang", "topic", "tokens", "w").join(best.select("_source", "_lang", "topic", "x"), ["_source", "_lang", "topic"], "left")
+    return out.select("_source", "_lang", "topic", "tokens", F.expr("if(x is null, 0d, round(x / tokens, 9))").alias("probability"))
 
 
 def chance(seed: str) -> Column:
@@ -217,7 +202,7 @@ def mixed_documents(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame
     placed = with_cells(docs, targets)
     # Only the cells' columns are needed to count; texts are read again for the result.
     fitted = fitted_cells(placed.select("n_words", "_source", "_lang", "topic"), targets)
-    return _with_chances(placed.withColumn("u", chance(targets.seed)), met_cells(fitted, targets))
+    return _with_chances(placed.withColumn("u", chance(targets.seed)), calibrated_cells(fitted, targets))
 
 
 def sample_mixture(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
@@ -227,16 +212,32 @@ def sample_mixture(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
 
 
 def mixture_report(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
-    """One row a document: its cell's probability, cut off at 1 as in the SQL, and whether that keeps it.
+    """One row a document: its cell's calibrated probability, and whether that keeps it.
 
     Texts are read once; a table of a few columns stands for them afterwards.
     """
     placed = with_cells(docs.select("doc_id", "text", "source", "lang"), targets).withColumn("u", chance(targets.seed))
     placed = written(placed.select("doc_id", "n_words", "_source", "_lang", "topic", "u"), "mix-documents")
-    out = _with_chances(placed, fitted_cells(placed.select("n_words", "_source", "_lang", "topic"), targets))
+    fitted = fitted_cells(placed.select("n_words", "_source", "_lang", "topic"), targets)
+    out = _with_chances(placed, calibrated_cells(fitted, targets))
     return out.select("doc_id", "n_words", "topic", "probability", "kept")
 
 
+def marginals(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+    """(dimension, value, target, present, expected, sampled): shares of tokens wanted, there, by probability and kept."""
+    rows = mixed_documents(docs.withColumn("_s", _named("source", targets.source)).withColumn("_l", _named("lang", targets.lang)), targets)
+    out = None
+    for name, column, weights in (("source", "_s", targets.source), ("lang", "_l", targets.lang), ("topic", "topic", targets.topic)):
+        one = rows.groupBy(F.col(column).alias("value")).agg(
+            F.sum("n_words").alias("n"), F.sum(F.col("n_words") * F.col("probability")).alias("e"), F.sum(F.when(F.col("kept"), F.col("n_words")).otherwise(0)).alias("k")
+        )
+        one = one.select(F.lit(name).alias("dimension"), "value", _target("value", weights).alias("t"), "n", "e", "k")
+        out = one if out is None else out.unionByName(one)
+    share = lambda c: F.expr(f"try_divide({c}, sum({c}) over (partition by dimension))")
+    wanted = F.expr("try_divide(if(n > 0, t, 0d), sum(if(n > 0, t, 0d)) over (partition by dimension))")
+    return out.select("dimension", "value", wanted.alias("target"), share("n").alias("present"), share("e").alias("expected"), share("k").alias("sampled"))
+
+
 def _values(weights: dict[str, float]) -> str:
     return ", ".join(f"('{k}', {float(v)!r}::DOUBLE)" for k, v in weights.items())
 
@@ -252,6 +253,13 @@ def oracle(targets: Targets = PRODUCTION, steps: int = STEPS * LOOKS) -> str:
     inner = "(SELECT * FROM ipf WHERE n < %d)" % steps
     for part in chain:
         inner = f"(SELECT n, s, l, p, tokens, w2 AS w FROM {part.format(inner)})"
+    passes = "(SELECT * FROM bounded WHERE n < %d)" % ROUNDS
+    for d, _ in dims:
+        order = f"(PARTITION BY k, {d} ORDER BY x / tokens DESC, s, l, p"
+        passes = f"""(SELECT * EXCLUDE (f, r, h) REPLACE (x * greatest(coalesce(h, max(tokens / x) OVER (PARTITION BY k, {d})), 1e-300) AS x) FROM (
+          SELECT *, arg_min(f, r) FILTER (WHERE f * x <= tokens) OVER (PARTITION BY k, {d}) AS h FROM (
+            SELECT *, row_number() OVER {order}) AS r,
+              (size * g{d} - coalesce(sum(tokens) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(x) OVER {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM {passes})))"""
     tables = ", ".join(f"t{d}(k, v) AS (VALUES {_values(w)})" for d, w in dims)
     return f"""
 WITH RECURSIVE {tables},
@@ -263,8 +271,21 @@ ipf AS (
   UNION ALL
   SELECT n + 1, s, l, p, tokens, w FROM {inner}
 ),
-f AS (SELECT s, l, p, round(CASE WHEN tokens > 0 THEN least(1, {targets.share!r} * w * sum(tokens) OVER () / tokens) ELSE 0 END, 9) AS probability FROM ipf WHERE n = {steps})
+f AS (SELECT s, l, p, tokens, w / sum(w) OVER () AS w FROM ipf WHERE n = {steps} AND tokens > 0 AND w > 0),
+g AS (SELECT *, sum(w) OVER (PARTITION BY s) AS gs, sum(w) OVER (PARTITION BY l) AS gl, sum(w) OVER (PARTITION BY p) AS gp,
+        sum(tokens) OVER (PARTITION BY s) AS ns, sum(tokens) OVER (PARTITION BY l) AS nl, sum(tokens) OVER (PARTITION BY p) AS np, {targets.share!r} * sum(tokens) OVER () AS wanted FROM f),
+h AS (SELECT *, least(wanted, min(ns / gs) OVER (), min(nl / gl) OVER (), min(np / gp) OVER ()) AS high, least(wanted, min(tokens / w) OVER ()) AS low FROM g),
+z AS (SELECT *, high * pow(low / high, pow(k / {float(SIZES - 1)!r}, 2)) AS size FROM h, range({SIZES}) AS r(k)),
+bounded AS (
+  SELECT 0 AS n, k, size, s, l, p, tokens, gs, gl, gp, size * w AS x FROM z
+  UNION ALL
+  SELECT n + 1, k, size, s, l, p, tokens, gs, gl, gp, x FROM {passes}
+),
+capped AS (SELECT * REPLACE (least(tokens::DOUBLE, x) AS x) FROM bounded WHERE n = {ROUNDS}),
+o AS (SELECT *, greatest(abs(sum(x) OVER (PARTITION BY k, s) - size * gs), abs(sum(x) OVER (PARTITION BY k, l) - size * gl), abs(sum(x) OVER (PARTITION BY k, p) - size * gp)) / size AS off FROM capped),
+q AS (SELECT min(k) AS k FROM (SELECT k FROM o GROUP BY k HAVING max(off) <= {CLOSE!r} OR k = {SIZES - 1})),
+c AS (SELECT cells.s, cells.l, cells.p, coalesce(round(o.x / o.tokens, 9), 0) AS probability FROM cells LEFT JOIN (SELECT o.* FROM o JOIN q USING (k)) o ON o.s = cells.s AND o.l = cells.l AND o.p = cells.p)
 SELECT e.doc_id, n_words::BIGINT AS n_words, e.p AS topic, probability,
        ('0x' || substr(md5('{targets.seed}|' || coalesce(e.doc_id::VARCHAR, '') || '|' || md5(t)), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < probability AS kept
-FROM e JOIN f ON f.s = e.s AND f.l = e.l AND f.p = e.p
+FROM e JOIN c ON c.s = e.s AND c.l = e.l AND c.p = e.p
 """

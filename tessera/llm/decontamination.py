@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import text_bytes, written
 
 WINDOW = 13
-#: Bound of what one automaton holds and one broadcast sends.
-PART_CHARS = 32_000_000
+#: Bound of what one automaton holds and one broadcast sends; 2.2 million characters of windows made
+#: an automaton of 96 MB, so a part makes some 200 MB in each worker.
+PART_CHARS = 4_000_000
 RESULTS = ("n_words", "n_hit", "item_ids", "spans", "contaminated")
 
 _OUTSIDE = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -184,8 +185,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def benchmark_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One digest row a document."""
-    found = find_benchmark(docs.select(F.col("doc_id").cast("long"), "text"), benchmark)
+    """One digest row a document, with the spans of its hits in the original ("first-after", in code points)."""
+    found = with_spans(find_benchmark(docs.select(F.col("doc_id").cast("long"), "text"), benchmark))
     return found.select(
         "doc_id",
         "n_words",
@@ -193,4 +194,5 @@ def benchmark_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.expr("array_join(transform(spans, x -> concat(x.first, '-', x.after)), ',')").alias("spans"),
     )

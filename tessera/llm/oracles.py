@@ -29,17 +29,23 @@ FROM s JOIN k ON k.r = s.r LEFT JOIN m ON m.r = s.r
 """
 
 DECONTAMINATION = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {_ITEM_WORDS} AS w FROM documents),
 b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_ITEM_WORDS} AS w FROM benchmark),
 i AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
 z AS (SELECT DISTINCT k FROM i),
 x AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, z WHERE len(w) >= k)),
 h AS (SELECT x.r, x.p, x.k, i.item FROM x JOIN i ON i.k = x.k AND i.s = x.s),
 n AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM h) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r),
+o AS (SELECT r, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: length(x)) AS sizes,
+  list_transform(regexp_split_to_array(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: length(x)) AS gaps FROM d JOIN (SELECT DISTINCT r FROM h) USING (r)),
+y AS (SELECT r, q, q - row_number() OVER (PARTITION BY r ORDER BY q) AS island FROM (SELECT DISTINCT r, unnest(range(p, p + k)) AS q FROM h)),
+-- Touching windows are one span.
+v AS (SELECT r, min(q) AS a, max(q) AS b FROM y GROUP BY r, island),
+e AS (SELECT r, string_agg((list_sum(gaps[1:a]) + coalesce(list_sum(sizes[1:a - 1]), 0))::BIGINT || '-' || (list_sum(gaps[1:b]) + list_sum(sizes[1:b]))::BIGINT, ',' ORDER BY a) AS spans FROM v JOIN o USING (r) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN t ON t.r = d.r
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(e.spans, '') AS spans
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN t ON t.r = d.r LEFT JOIN e ON e.r = d.r
 """
 
 SUBSTRING_DEDUP = f"""

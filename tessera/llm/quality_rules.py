@@ -9,8 +9,8 @@ Defined results
 ---------------
 * null or empty text: no words, all statistics 0, ``base_failed`` true, ``kept`` false;
 * no labelled rows: an empty list, so the verdict is that of the base rule;
-* repeated rows are judged one by one; equal candidates are resolved by the smaller
-  threshold and then the statistic's name;
+* repeated rows are judged one by one; of equal candidates the first in the order of FEATURES is
+  taken, of one statistic that of the smaller threshold, "at most" before "above";
 * extra columns of ``docs`` are carried along by :func:`apply_rules`.  The statistics'
   names are reserved: a clashing column of ``docs`` is replaced by the statistic.
 """

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch between the JVM and a Python worker; a batch of documents of
 #: 100 kB each stays near 25 MB.
 ARROW_ROWS = 256
-#: Words that a Python worker remembers before it starts afresh (bounds its memory).
-CACHE_WORDS = 400_000
 
 
 _SHIPPED: set[str] = set()
@@ -136,17 +134,6 @@ def row_key() -> dict[str, Column]:
     return text_key() | {"d0": F.col("doc_id").isNull().cast("int"), "d1": F.coalesce("doc_id", F.lit(0).cast("long"))}
 
 
-class WordHash(dict):
-    """word (UTF-8 bytes) -> 64-bit hash, remembered per worker up to ``CACHE_WORDS`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
-
-
 class Memo:
     """Pieces of text -> bytes, remembered as Arrow arrays: what ``make`` says of pieces not seen before."""
 

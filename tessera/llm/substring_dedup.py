@@ -1,19 +1,20 @@
 """Operator 7, substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-A word is a run of bytes other than space and ``\\x09``-``\\x0D``.  Every window of
-``WINDOW`` consecutive words gets a polynomial rolling hash.  A word goes where a window
+A word is a run of bytes other than space and ``\\x09``-``\\x0D``.  Every window of ``WINDOW``
+consecutive words that may repeat gets a polynomial rolling hash.  A word goes where a window
 that covers it has a word sequence that also starts anywhere else.
 
 So that not every hash has to be shuffled, windows are first sifted without loss: of the
 ``GRAM``-word pieces inside a window the one of the smallest hash (leftmost on ties) is its
 anchor.  Equal windows have equal anchors at equal places, so a window whose anchor occurs
 at one place only in all documents is unique.  Anchors, a tenth of the windows, are counted
-first; the window hashes at repeated anchors are then counted in Spark, joined back, and
+first; the hashes of the windows at repeated anchors are then counted in Spark, joined back, and
 merged into maximal removal intervals of each text.
 
 Equal texts are kept once, with their number (their windows weigh as much), so that a
-large group of copies neither meets in one task nor repeats its windows.  Hashes have 64
-bits: at n counted windows a unique one is taken for repeated with probability n / 2**64.
+large group of copies neither meets in one task nor repeats its windows.  Counted hashes have
+128 bits, from two independent polynomials: at n counted windows the odds that any unique one is
+taken for repeated are n**2 / 2**129.  Anchors have 64; a chance pair there costs work, not words.
 
 Defined results
 ---------------
@@ -34,27 +35,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WordHash, discard, release, sole, text_bytes, text_key, written
+from tessera.llm.shared import discard, grouped, plain_texts, release, text_bytes, text_key, word_hashes, written
 
 WINDOW = 35
 GRAM = 18
-#: Base of the polynomial and its inverse modulo 2**64 (fixed values; any odd base will do).
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of texts that are hashed at once.
+GROUP_BYTES = 16 << 20
+#: Bases of the polynomials (fixed values; any odd bases will do).
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
-_HASH = WordHash()
-_POWERS = np.ones((2, 1), dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if _POWERS.shape[1] < n:
-        size = 1 << (n - 1).bit_length()
-        steps = np.array([[BASE], [INVERSE]], dtype=np.uint64)
-        out = np.ones((2, size), dtype=np.uint64)
-        out[:, 1:] = steps
-        _POWERS = np.multiply.accumulate(out, axis=1)
-    return _POWERS
+def _powers(n: int, base: int) -> np.ndarray:
+    """Powers of ``base`` and of its inverse modulo 2**64."""
+    if base not in _POWERS or _POWERS[base].shape[1] < n:
+        out = np.ones((2, 1 << (n - 1).bit_length()), dtype=np.uint64)
+        out[:, 1:] = np.array([[base], [pow(base, -1, 1 << 64)]], dtype=np.uint64)
+        _POWERS[base] = np.multiply.accumulate(out, axis=1)
+    return _POWERS[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,12 +63,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rolling(words: np.ndarray, size: int) -> np.ndarray:
+def rolling(words: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
     """Polynomial hash of each ``size`` consecutive words (modulo 2**64), mixed."""
     n = len(words)
     if n < size:
         return np.zeros(0, dtype=np.uint64)
-    powers = _powers(n)
+    powers = _powers(n, base)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(words * powers[1, :n], out=sums[1:])
     return mixed((sums[size:] - sums[:-size]) * powers[0, : n - size + 1])
@@ -89,25 +88,25 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     return pieces, at
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
+def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each window's hash; the second sees other hashes of the words."""
+    return rolling(words, window), rolling(mixed(words * np.uint64(OTHER_BASE) + np.uint64(1)), window, OTHER_BASE)
 
 
 def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """One row a document: (doc_id, k1, k2, n_words, whole_sha256, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole(_HASH)
-        for batch in batches:
-            counts, shas, found = [], [], []
-            for raw in text_bytes(batch.column(3)):
-                words = raw.split()
-                counts.append(len(words))
-                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                if len(words) < window:
+        for batch in grouped(batches, GROUP_BYTES):
+            shas, found = [], []
+            hashes, bounds = word_hashes(plain_texts(batch.column(3)))
+            counts = np.diff(bounds)
+            for raw, a, b in zip(text_bytes(batch.column(3)), bounds.tolist(), bounds[1:].tolist()):
+                shas.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
+                if b - a < window:
                     found.append([])
                 else:
-                    pieces, at = anchors(_word_hashes(words), window, gram)
+                    pieces, at = anchors(hashes[a:b], window, gram)
                     found.append(pieces[np.unique(at)].view(np.int64))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(found, pa.list_(pa.int64()))],
@@ -118,24 +117,25 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, k1, k2, at, copies) of the windows of (k1, k2, copies, repeated, text) with a repeated anchor."""
+    """(h, g, k1, k2, at, copies) of the windows of (k1, k2, copies, repeated, text) with a repeated anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1s, k2s, copies, repeated = (batch.column(k) for k in range(4))
-            for row, raw in enumerate(text_bytes(batch.column(4))):
-                words = _word_hashes(raw.split())
+            found, bounds = word_hashes(plain_texts(batch.column(4)))
+            for row, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                words = found[a:b]
                 pieces, at = anchors(words, window, gram)
-                known = np.array(repeated[row].as_py(), dtype=np.int64).view(np.uint64)
+                known = repeated[row].values.to_numpy().view(np.uint64)
                 places = np.flatnonzero(np.isin(pieces, known)[at])
-                hashes = rolling(words, window)[places].view(np.int64)
+                h, g = (x[places].view(np.int64) for x in window_hashes(words, window))
                 n = len(places)
                 yield pa.record_batch(
-                    [pa.array(hashes), pa.array(np.full(n, k1s[row].as_py())), pa.array(np.full(n, k2s[row].as_py())), pa.array(places.astype(np.int32)), pa.array(np.full(n, copies[row].as_py()))],
-                    names=["h", "k1", "k2", "at", "copies"],
+                    [pa.array(h), pa.array(g), pa.array(np.full(n, k1s[row].as_py())), pa.array(np.full(n, k2s[row].as_py())), pa.array(places.astype(np.int32)), pa.array(np.full(n, copies[row].as_py()))],
+                    names=["h", "g", "k1", "k2", "at", "copies"],
                 )
 
-    return rows.select("k1", "k2", "copies", "repeated", "text").mapInArrow(run, "h long, k1 long, k2 long, at int, copies long")
+    return rows.select("k1", "k2", "copies", "repeated", "text").mapInArrow(run, "h long, g long, k1 long, k2 long, at int, copies long")
 
 
 def removal_intervals(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -213,10 +213,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     found = written(_candidates(_with_text(hot, docs), window, gram), "windows-found")
     discard(hot)
     release(docs.sparkSession)
-    counts = written(found.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"), "windows-counts")
+    counts = written(found.groupBy("h", "g").agg(F.sum("copies").alias("n")).where("n > 1").select("h", "g"), "windows-counts")
     release(docs.sparkSession)
     # What occurs in copies goes as a whole; only texts of one copy need their places.
-    cut = found.where("copies = 1").join(counts, "h").groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
+    cut = found.where("copies = 1").join(counts, ["h", "g"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
     cut = written(cut, "windows-places")
     discard(found)
     discard(counts)

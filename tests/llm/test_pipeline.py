@@ -36,7 +36,7 @@ def test_each_stage_against_brute_force(spark, sf_dir, benchmark_items, labels):
     assert key(unique.collect()) == key(min((rows[n] for n in g), key=lambda r: r.doc_id) for g in groups.values())
 
     rows = unique.collect()
-    bad = {r[0] for r in contaminated(rows, benchmark_items.collect()) if r[-1]}
+    bad = {r[0] for r in contaminated(rows, benchmark_items.collect()) if r[5]}
     clean = written(P.decontamination_stage(spark, unique, sf_dir), "t")
     assert key(clean.collect()) == key(r for r in rows if r.doc_id not in bad)
 

@@ -57,26 +57,53 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
+#: Folders made since the application began, in order.
+_MADE: list[str] = []
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A folder to be, gone with the application at the latest: what a lazy result still reads can't be deleted before."""
     path = shared_path(spark, name)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    # Gone with the application at the latest; what a lazy result still reads can't be deleted before.
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _MADE.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
+    spark = df.sparkSession
+    path = temporary_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def made() -> int:
+    """How many temporary folders were made so far."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the temporary folders made after the first ``since``, but for that of ``keep``."""
+    kept = getattr(keep, "_tessera_path", None)
+    for path in _MADE[since:]:
+        if path != kept:
+            _delete(spark, path)
+    _MADE[since:] = [kept] if kept in _MADE[since:] else []
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ from tessera.llm.decontamination import decontaminate
 from tessera.llm.mixing import sample_mixture
 from tessera.llm.ngram_join import drop_near_copies
 from tessera.llm.quality_rules import apply_rules, learned_rules
-from tessera.llm.shared import prepare, release, table, written
+from tessera.llm.shared import made, prepare, release, sweep, table, written
 from tessera.llm.token_output import token_output
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,7 +70,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, since, docs)  # the stage before and what this one made on the way
         release(spark)
     return docs

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Memo, discard, grouped, partitions_for, shared_path, sole, written
+from tessera.llm.shared import Memo, discard, grouped, partitions_for, sole, temporary_path, written
 
 #: Chunks that a worker remembers the ids of before it starts afresh.
 CACHE_CHUNKS = 2_000_000
@@ -401,7 +401,7 @@ def _read(spark: SparkSession, folder: str, column: str, make) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Write ``docs`` and return the digest of what the files hold."""
-    folder = folder or shared_path(docs.sparkSession, "tokens")
+    """Write ``docs`` to ``folder`` (a temporary one by default) and return the digest of what the files hold."""
+    folder = folder or temporary_path(docs.sparkSession, "tokens")
     write_tokens(docs, folder, tokenizer_path, end_id)
     return token_digest(docs.sparkSession, folder)

@@ -16,7 +16,7 @@ from tessera.llm.decontamination import decontaminate
 from tessera.llm.mixing import sample_mixture
 from tessera.llm.ngram_join import drop_near_copies
 from tessera.llm.quality_rules import apply_rules, learned_rules
-from tessera.llm.shared import made, prepare, release, sweep, table, written
+from tessera.llm.shared import made, prepare, release, shared_path, sweep, table, written
 from tessera.llm.token_output import token_output
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,7 +53,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     prepare(spark)
-    return token_output(docs, public_tokenizers.path(VOCABULARY))
+    return token_output(docs, public_tokenizers.path(VOCABULARY), folder=shared_path(spark, "corpus-tokens"))
 
 
 STAGES = [

@@ -28,38 +28,37 @@ w(start, id, depth) AS (SELECT start, start, 0 FROM h UNION ALL SELECT w.start,
 """
 
 
-def _walk(spark, sf_dir):
+def _heads(spark, sf_dir):
     turns = _turns(spark, sf_dir)
-    heads = turns.groupBy("task").agg(F.max_by("id", "turn").alias("start")).select("start")
-    return turns, lin.ancestors(turns, heads)
+    return turns, turns.groupBy("task").agg(F.max_by("id", "turn").alias("start")).select("start")
 
 
-@query(_TURNS + "SELECT start, arg_min(t.id, depth) AS id, min(depth)::INT AS depth FROM w JOIN t ON t.id = w.id WHERE role = 'assistant' GROUP BY start")
+@query(_TURNS + "SELECT start, arg_min(t.id, depth) AS id, min(depth)::BIGINT AS depth FROM w JOIN t ON t.id = w.id WHERE role = 'assistant' GROUP BY start")
 def effective_head(spark, sf_dir):
     """From the newest turn back to the first that can be forked."""
-    turns, walked = _walk(spark, sf_dir)
-    return lin.nearest(walked, turns.where("role = 'assistant'"))
+    turns, heads = _heads(spark, sf_dir)
+    return lin.nearest(turns, turns.where("role = 'assistant'")).join(heads, "start", "left_semi")
 
 
 @query(_TURNS + "SELECT start, id FROM (SELECT w.start, t.id, row_number() OVER (PARTITION BY start ORDER BY depth) AS n FROM w JOIN t ON t.id = w.id WHERE role = 'assistant' AND depth > 0) WHERE n = 2")
 def nth_back(spark, sf_dir):
-    turns, walked = _walk(spark, sf_dir)
-    return lin.nth(walked, turns.where("role = 'assistant'"), 2)
+    turns, heads = _heads(spark, sf_dir)
+    return lin.nth(turns, heads, turns.where("role = 'assistant'"), 2)
 
 
 @query(_TURNS + "SELECT start, count(*) AS n FROM w JOIN t ON t.id = w.id WHERE role = 'assistant' AND depth > 0 GROUP BY start")
 def count_back(spark, sf_dir):
-    turns, walked = _walk(spark, sf_dir)
-    return walked.where("depth > 0").join(turns.where("role = 'assistant'").select("id"), "id", "left_semi").groupBy("start").agg(F.count("*").alias("n"))
+    turns, heads = _heads(spark, sf_dir)
+    return lin.counted(turns, turns.where("role = 'assistant'")).join(heads, "start", "left_semi")
 
 
 @query(_TURNS + """, s AS (SELECT start, min(depth) AS stop FROM w JOIN t ON t.id = w.id WHERE role = 'assistant' AND depth > 0 GROUP BY start)
 SELECT w.start, w.id, w.depth::INT AS depth FROM w LEFT JOIN s ON s.start = w.start WHERE depth > 0 AND (stop IS NULL OR depth < stop)""")
 def preceding_open_chain(spark, sf_dir):
     """Turns before the newest up to the first that can be forked."""
-    turns, walked = _walk(spark, sf_dir)
-    stop = walked.where("depth > 0").join(turns.where("role = 'assistant'").select("id"), "id", "left_semi").groupBy("start").agg(F.min("depth").alias("stop"))
-    return walked.where("depth > 0").join(stop, "start", "left").where("stop is null or depth < stop").select("start", "id", "depth")
+    turns, heads = _heads(spark, sf_dir)
+    closed = turns.where("role = 'assistant'").select("id")
+    return lin.ancestors(turns, heads, until=closed).where("depth > 0").join(closed, "id", "left_anti").select("start", "id", "depth")
 
 
 @query(_TURNS + "SELECT id, row_number() OVER (PARTITION BY task ORDER BY turn DESC) - 1 AS n_back FROM t WHERE role = 'assistant'")
@@ -112,12 +111,11 @@ SELECT c.id, string_agg(t.role, ',' ORDER BY t.turn) AS roles, count(*) AS n FRO
 def child_reconstruct(spark, sf_dir):
     """A turn's messages: its child's without the last, or its own."""
     rows = _turns(spark, sf_dir)
-    w = Window.partitionBy("task").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("body", F.collect_list("role").over(w))
-    by = Window.partitionBy("task").orderBy("turn")
-    child = F.lead("body").over(by)
-    body = F.when(child.isNotNull(), F.slice(child, F.lit(1), F.size(child) - 1)).otherwise(F.col("body"))
-    return own.select("id", body.alias("b")).select("id", F.array_join("b", ",").alias("roles"), F.size("b").cast("long").alias("n"))
+    # The conversation's turns once; a child's body without its last message is as long as the turn's own.
+    whole = rows.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "id"))).alias("all"))
+    each = whole.select(F.posexplode("all").alias("at", "x"), F.transform("all", lambda x: x.role).alias("roles"))
+    body = F.slice("roles", F.lit(1), F.col("at") + 1)
+    return each.select("x.id", F.array_join(body, ",").alias("roles"), (F.col("at") + 1).cast("long").alias("n"))
 
 
 @query(_TURNS + """, b AS (SELECT task, arg_max(id, turn) AS head, arg_max(role, turn) AS role FROM t GROUP BY task),
@@ -125,15 +123,56 @@ a AS (SELECT start, arg_min(t.id, depth) AS id FROM w JOIN t ON t.id = w.id WHER
 SELECT b.task, CASE WHEN b.role = 'assistant' THEN b.head ELSE coalesce(a.id, b.head) END AS head FROM b LEFT JOIN a ON a.start = b.head""")
 def reclassify_heads(spark, sf_dir):
     """Heads that can't be forked move to the nearest ancestor that can."""
-    turns, walked = _walk(spark, sf_dir)
+    turns = _turns(spark, sf_dir)
     heads = turns.groupBy("task").agg(F.max_by("id", "turn").alias("head"), F.max_by("role", "turn").alias("role"))
-    near = lin.nearest(walked, turns.where("role = 'assistant'")).select(F.col("start").alias("head"), F.col("id").alias("moved"))
+    near = lin.nearest(turns, turns.where("role = 'assistant'")).select(F.col("start").alias("head"), F.col("id").alias("moved"))
     return heads.join(near, "head", "left").select("task", F.when(F.col("role") == "assistant", F.col("head")).otherwise(F.coalesce("moved", "head")).alias("head"))
 
 
 @query(_TURNS + "SELECT start, max(depth)::BIGINT AS chain FROM w GROUP BY start")
 def version_chain(spark, sf_dir):
-    return _walk(spark, sf_dir)[1].groupBy("start").agg(F.max("depth").cast("long").alias("chain"))
+    """The number of versions before each newest one."""
+    turns, heads = _heads(spark, sf_dir)
+    return heads.join(lin.counted(turns, turns), "start", "left").select("start", F.coalesce("n", F.lit(0).cast("long")).alias("chain"))
+
+
+#: A history that forks: document n comes from document n // 3, those in English can be forked.
+_TREE = """
+WITH RECURSIVE t AS (SELECT doc_id AS id, CASE WHEN doc_id > 0 THEN doc_id // 3 END AS parent_id, lang = 'en' AS fits FROM (SELECT DISTINCT doc_id, max(lang) OVER (PARTITION BY doc_id) AS lang FROM documents)),
+w(start, id, depth) AS (SELECT id, id, 0 FROM t UNION ALL SELECT w.start, t.parent_id, depth + 1 FROM w JOIN t ON t.id = w.id WHERE t.parent_id IS NOT NULL)
+"""
+
+
+def _tree(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("id")).agg(F.max("lang").alias("lang"))
+    return rows.select("id", F.expr("if(id > 0, id div 3, null)").alias("parent_id"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("fits"))
+
+
+@query(_TREE + "SELECT start, arg_min(t.id, depth) AS id, min(depth)::BIGINT AS depth FROM w JOIN t ON t.id = w.id WHERE fits GROUP BY start")
+def tree_effective_heads(spark, sf_dir):
+    """The nearest forkable revision at or above every revision of a history that forks."""
+    tree = _tree(spark, sf_dir)
+    return lin.nearest(tree, tree.where("fits"))
+
+
+@query(_TREE + "SELECT start, id FROM (SELECT w.start, t.id, row_number() OVER (PARTITION BY start ORDER BY depth) AS n FROM w JOIN t ON t.id = w.id WHERE fits AND depth > 0) WHERE n = 3")
+def tree_third_back(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return lin.nth(tree, tree.select(F.col("id").alias("start")), tree.where("fits"), 3)
+
+
+@query(_TREE + "SELECT start, count(*) AS n FROM w JOIN t ON t.id = w.id WHERE fits AND depth > 0 GROUP BY start")
+def tree_counts_back(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return lin.counted(tree, tree.where("fits"))
+
+
+@query(_TREE + """, s AS (SELECT start, min(depth) AS stop FROM w JOIN t ON t.id = w.id WHERE fits AND depth > 0 GROUP BY start)
+SELECT w.id, min(w.start) AS child FROM w JOIN t c ON c.id = w.start LEFT JOIN s ON s.start = w.start WHERE c.fits AND depth > 0 AND (stop IS NULL OR depth <= stop) GROUP BY w.id""")
+def tree_first_children(spark, sf_dir):
+    """The earliest forkable descendant that is reached through others only."""
+    tree = _tree(spark, sf_dir)
+    return lin.first_children(tree, tree.where("fits"), "id")
 
 
 @query(_TURNS + """SELECT 'turn' AS kind, id, turn FROM t WHERE role = 'assistant' UNION ALL SELECT 'release', id, turn FROM t WHERE role = 'system'""")

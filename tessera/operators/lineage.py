@@ -1,7 +1,11 @@
 """Navigation of a revision history: heads, ancestors, surroundings, reconstruction.
 
-Walks follow parent pointers by recursive SQL.  Where a history is one chain of known
-order (no forks), the window forms below give the same without recursion.
+What a walk finds first (:func:`nearest`, :func:`nth`, :func:`counted`) comes by pointer doubling:
+every revision's pointer jumps twice as far each round, so a history of any depth takes a
+logarithmic number of joins over the revisions, however many walks start in it.  Only walks whose
+every row is wanted (:func:`ancestors`) follow parents by recursive SQL.  Histories may fork.
+Parents that aren't there end a walk; cycles without a hit end it without a result.
+Where a history is one chain of known order, the window forms below give the same without joins.
 """
 
 from __future__ import annotations
@@ -9,12 +13,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.store import kept
+
 MAX_DEPTH = 1000
 
 
-def ancestors(revisions: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(start, id, depth) of every start (start) and its ancestors over (id, parent_id)."""
+def ancestors(revisions: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, until: DataFrame | None = None) -> DataFrame:
+    """(start, id, depth) of every start (start) and its ancestors over (id, parent_id), up to the first
+    proper ancestor in ``until`` (id), that one included, where it is given."""
     spark = revisions.sparkSession
+    if until is not None:  # the walk ends there
+        ends = until.select(F.col("id").alias("_end")).distinct()
+        below = revisions.join(ends, revisions.id == ends._end, "left").select("id", "parent_id", F.col("_end").isNotNull().alias("hit"))
+        first = starts.join(revisions.select("id", "parent_id"), starts.start == revisions.id).select("start", "id", "parent_id")
+        revisions, starts = below.where("not hit"), first
+        walked = ancestors(revisions, starts.where("parent_id is not null").select(F.col("parent_id").alias("start")).distinct(), depth - 1)
+        above = starts.join(walked.select(F.col("start").alias("parent_id"), F.col("id").alias("_id"), "depth"), "parent_id").select("start", F.col("_id").alias("id"), (F.col("depth") + 1).alias("depth"))
+        return starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).unionByName(above)
     revisions.select("id", "parent_id").createOrReplaceTempView("_lineage_revisions")
     starts.createOrReplaceTempView("_lineage_starts")
     # The depth bounds the walk; Spark's own limit of a million rows would end it with an error.
@@ -30,16 +45,66 @@ def ancestors(revisions: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -
     """)
 
 
-def nearest(walked: DataFrame, fits: DataFrame) -> DataFrame:
-    """(start, id, depth): the first revision on each walk that is in ``fits`` (id)."""
-    return walked.join(fits.select("id"), "id", "left_semi").groupBy("start").agg(F.min(F.struct("depth", "id")).alias("x")).select("start", "x.id", "x.depth")
-
-
-def nth(walked: DataFrame, fits: DataFrame, n: int) -> DataFrame:
-    """(start, id): the n-th fitting ancestor, the start itself excluded."""
-    w = Window.partitionBy("start").orderBy("depth")
-    rows = walked.where("depth > 0").join(fits.select("id"), "id", "left_semi")
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") == n).select("start", "id")
+def _jumped(state: DataFrame) -> DataFrame:
+    """(id, at, steps, done) once all pointers ``at`` stand on their goal (or nowhere: null).
+
+    A round moves each pointer that isn't done to where its target's points; equal targets are
+    one row on that side of the join."""
+    state = kept(state.select("id", "at", F.col("steps").cast("long").alias("steps"), "done"))
+    for _ in range(state.count().bit_length() + 1):  # a pointer that is still under way then goes round a cycle
+        if state.where("not done").isEmpty():
+            break
+        to = state.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        moved = state.where("not done").join(to, F.col("at") == F.col("_id"), "left")
+        moved = moved.select("id", F.col("_at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_done", F.lit(True)).alias("done"))
+        state = kept(state.where("done").unionByName(moved))
+    return state
+
+
+def nearest(revisions: DataFrame, fits: DataFrame) -> DataFrame:
+    """(start, id, depth): the first revision in ``fits`` (id) at or above every revision (id, parent_id)."""
+    marked = revisions.select("id", "parent_id").join(fits.select(F.col("id").alias("_fit")).distinct(), F.col("id") == F.col("_fit"), "left")
+    hit = F.col("_fit").isNotNull()
+    state = marked.select("id", F.when(hit, F.col("id")).otherwise(F.col("parent_id")).alias("at"), F.when(hit, 0).otherwise(1).alias("steps"), (hit | F.col("parent_id").isNull()).alias("done"))
+    return _jumped(state).where("done and at is not null").select(F.col("id").alias("start"), F.col("at").alias("id"), "steps").withColumnRenamed("steps", "depth")
+
+
+def above(revisions: DataFrame, fits: DataFrame) -> DataFrame:
+    """(id, up, depth): the first revision in ``fits`` that is a proper ancestor of each revision; null if none is."""
+    found = nearest(revisions, fits).select(F.col("start").alias("parent_id"), F.col("id").alias("up"), "depth")
+    return revisions.select("id", "parent_id").join(found, "parent_id", "left").select("id", "up", (F.col("depth") + 1).alias("depth"))
+
+
+def nth(revisions: DataFrame, starts: DataFrame, fits: DataFrame, n: int) -> DataFrame:
+    """(start, id): the n-th fitting ancestor of each start, the start itself excluded (n from 1)."""
+    up = kept(above(revisions, fits).where("up is not null").select("id", "up"))
+    out = starts.select("start").join(up.withColumnRenamed("id", "start"), "start")
+    left = n - 1
+    while left:
+        if left & 1:
+            out = out.join(up.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("start", F.col("_up").alias("up"))
+        left >>= 1
+        if left:  # pointers twice as far
+            up = kept(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")))
+    return out.select("start", F.col("up").alias("id"))
+
+
+def counted(revisions: DataFrame, fits: DataFrame) -> DataFrame:
+    """(start, n): the number of fitting proper ancestors of every revision that has any."""
+    up = kept(above(revisions, fits).select("id", "up"))
+    # Among fitting revisions pointers lead to the topmost, one fitting revision a step.
+    among = up.join(fits.select("id").distinct(), "id", "left_semi")
+    state = among.select("id", "up", F.col("up").isNull().alias("top")).select("id", F.when(F.col("top"), F.col("id")).otherwise(F.col("up")).alias("at"), F.when(F.col("top"), 0).otherwise(1).alias("steps"), F.col("top").alias("done"))
+    ranks = _jumped(state).where("done").select(F.col("id").alias("up"), "steps")
+    return up.where("up is not null").join(ranks, "up").select(F.col("id").alias("start"), (F.col("steps") + 1).alias("n"))
+
+
+def first_children(revisions: DataFrame, fits: DataFrame, order: str) -> DataFrame:
+    """(id, child): the earliest fitting descendant by ``order``, where descents go on through revisions that don't fit only."""
+    # Every fitting revision is a candidate of all revisions between it and the next fitting one above, that one included.
+    chains = ancestors(revisions, fits.select(F.col("id").alias("start")), until=fits).where("depth > 0")
+    when = revisions.select(F.col("id").alias("start"), F.col(order).alias("_order"))
+    return chains.join(when, "start").groupBy("id").agg(F.min(F.struct("_order", "start")).getField("start").alias("child"))
 
 
 def numbered(rows: DataFrame, task: str, order: list[str]) -> DataFrame:

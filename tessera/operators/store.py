@@ -37,7 +37,7 @@ def hydrate(tops: DataFrame, blobs: DataFrame) -> DataFrame:
     return tops.select("body_id").join(whole, "body_id", "left").select("body_id", F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the shared folder (``spark.checkpoint.dir``, or one of our own where it is unset)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -50,15 +50,15 @@ def closure(roots: DataFrame, links: DataFrame, depth: int | None = None) -> Dat
 
     Links are followed until they lead to nothing new, at most ``depth`` times where it is given.
     """
-    links = _kept(links.select("cid", "target").distinct())
-    edge = _kept(roots.select("root", F.col("root").alias("cid"), F.lit(0).alias("depth")).distinct())
+    links = kept(links.select("cid", "target").distinct())
+    edge = kept(roots.select("root", F.col("root").alias("cid"), F.lit(0).alias("depth")).distinct())
     parts, steps = [edge], 0
     while (depth is None or steps < depth) and not edge.isEmpty():
         steps += 1
         step = edge.join(links, "cid").select("root", F.col("target").alias("cid"), F.lit(steps).alias("depth")).distinct()
         seen = reduce(DataFrame.unionByName, parts)
-        edge = _kept(step.join(seen.select("root", "cid"), ["root", "cid"], "left_anti"))
-        parts = [*parts, edge] if len(parts) < 16 else [_kept(seen), edge]  # plans of long chains stay small
+        edge = kept(step.join(seen.select("root", "cid"), ["root", "cid"], "left_anti"))
+        parts = [*parts, edge] if len(parts) < 16 else [kept(seen), edge]  # plans of long chains stay small
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -63,7 +63,7 @@ COMMON = 32
 MARGIN = 2e-5
 #: Pieces of text whose terms a worker remembers; bytes of texts that are scored at once.
 CACHE_PIECES = 2_000_000
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 20 << 20
 GROUP_TEXTS = 256
 #: Terms whose document frequencies make one row.
 SLICE = 4_096

@@ -154,7 +154,7 @@ def write_warc(records: DataFrame, folder: str, compression: str = "gzip") -> No
     """Write the column ``record`` (whole records) as record files."""
     # The text source writes each row's bytes and the separator, which is the end that every record has.
     body = F.substring("record", F.lit(1), F.octet_length("record") - len(_END))
-    records.select(body.cast("string").alias("value")).write.option("lineSep", _END).option("compression", compression).text(folder)
+    records.select(body.cast("string").alias("value")).write.option("lineSep", _END).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(folder)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ def read_blobs(spark: SparkSession, path: str, cids: list[str] | None = None) ->
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files stored under <id 0-2>/<id 2-4>/<rest>, with their ids."""
+    """Files stored under <id 0-2>/<id 2-4>/<rest>, with their ids.  Spark's scan passes over empty files."""
     parts = F.regexp_extract("path", r"([^/]{2})/([^/]{2})/([^/]+)$", 0)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_replace(parts, "/", "").alias("cid"), F.col("content").alias("bytes"), F.col("length").alias("size"))
 

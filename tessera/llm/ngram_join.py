@@ -9,14 +9,17 @@ Two texts are linked where the Jaccard similarity of their shingle sets is 0.8 o
    A tree is a prefix trie, kept as the signatures in sorted order: the first ``TOP`` values, which
    no descent goes below, are one key, the others sixteen bits each of one word.  Branches of one
    class are dropped.
-3. The descent: links found in a bounded sample of branches tell how similar linked texts are here.
-   The matched prefix starts at ``DEPTH`` values and is shortened until a link of those similarities
-   shares it in some tree with probability ``RECALL`` on average (:func:`shortened`).  The
-   classes that share a prefix of that length form a node.
-4. Of nodes with the same members one is kept.  A node is cut into blocks of bounded rows
-   and shingles, and each pair of blocks is one unit of work; a pair of classes is
-   counted in the first node that both have.  Nothing emits the pairs: a unit returns the
-   number of links of each class and a spanning forest of the links.
+3. The descent: the classes that share a prefix form a node.  The nodes of ``DEPTH`` values, those
+   of the whole table, come first; their links, all counted by similarity, tell how far the prefix
+   must be shortened, until the whole table loses no link with probability ``RECALL`` (or to
+   ``TOP`` values).  One more link at the threshold is always reckoned with, so that no link has a
+   lower recall than that, whatever the others are (:func:`descent`).  The nodes of that
+   length follow.  Nodes of more than one block are put off, so that large groups aren't compared
+   at both lengths: where there are any, the prefix is shortened to ``TOP`` values.
+4. Of nodes with the same members, at either length, one is kept.  A node is cut into blocks of
+   bounded rows and shingles, and each pair of blocks is one unit of work; a pair of classes is
+   counted in the first node that both have.  Nothing emits the pairs: a unit returns the number
+   of links of each class, a spanning forest of the links and their number by similarity.
 5. Within a unit the similarity is exact: shingles that occur in the same classes of the
    unit are one column, weighted by their number, of a 0/1 matrix; the intersections are
    the product of the matrix with itself.
@@ -36,6 +39,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,25 +57,23 @@ DEPTH = 8
 #: Length of the shortest prefix: there a pair at the threshold meets with probability 1 - 5e-8.
 TOP = 4
 RECALL = 0.99999
-#: Branches that the descent looks at, and about how many classes of each.
-SAMPLE_NODES = 2_000
-SAMPLE_CLASSES = 48
 #: Bytes of texts that are signed at once.
 GROUP_BYTES = 16 << 20
 #: Bounds of a block: classes, and shingles of all its classes together.
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 400_000
 
-def shortened(links: list[tuple[float, float]], trees: int = TREES, depth: int = DEPTH, top: int = TOP, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, float]:
+def shortened(links: list[tuple[float, float]], trees: int = TREES, depth: int = DEPTH, top: int = TOP, threshold: float = THRESHOLD, recall: float = RECALL, together: bool = False) -> tuple[int, float]:
     """(length of the prefix, recall expected of it) for links given as (similarity, weight).
 
-    One link at the threshold is added to them, so that few links don't promise too much."""
+    ``recall`` is that of a link on average or, with ``together``, the probability that none of
+    them is lost.  One link at the threshold is added, so that few links don't promise too much."""
     links = [*links, (threshold, 1.0)]
     total = sum(w for _, w in links)
     while True:
-        expected = sum(w * (1 - (1 - min(1.0, s) ** depth) ** trees) for s, w in links) / total
-        if expected >= recall or depth <= top:
-            return depth, expected
+        lost = sum(w * (1 - min(1.0, s) ** depth) ** trees for s, w in links)
+        if lost <= (1 - recall) * (1 if together else total) or depth <= top:
+            return depth, 1 - lost / total
         depth -= 1
 
 
@@ -216,33 +218,41 @@ def linked_roots(linked: np.ndarray) -> np.ndarray:
         roots = after
 
 
-def verify_unit(fps: list[bytes], copies: list[int], nodes: list[list[int]], blocks: list[int], sets: list[np.ndarray], node: int, low: int, high: int, threshold: float = THRESHOLD):
-    """(links of each class counted here, edges of a spanning forest) of one pair of blocks."""
+def verify_unit(fps: list[bytes], copies: list[int], nodes: list[list[int]], blocks: list[int], sets: list[np.ndarray], node: int, low: int, high: int, threshold: float = THRESHOLD, before: list[list[int]] | None = None):
+    """(links of each class counted here, edges of a spanning forest, pairs by thousandths of similarity)
+    of one pair of blocks; ``before`` are nodes of each class that all come before this one."""
     n = len(fps)
     block = np.array(blocks)
     across = (block[:, None] == low) & (block[None, :] == high)
     if low == high:
         across &= np.triu(np.ones((n, n), dtype=bool), 1)
-    found = across & (similarities(sets) >= threshold - 1e-12)
+    alike = similarities(sets)
+    found = across & (alike >= threshold - 1e-12)
     if found.any():  # pairs that an earlier node has too are counted there
-        found &= ~shares_one([x[x < node] for x in (np.array(x, dtype=np.int64) for x in nodes)])
+        earlier = [x[x < node] for x in (np.array(x, dtype=np.int64) for x in nodes)]
+        if before is not None:
+            earlier = [np.concatenate([x, np.array(y, dtype=np.int64)]) for x, y in zip(earlier, before)]
+        found &= ~shares_one(earlier)
     linked = found | found.T
     roots = linked_roots(linked)
     edges = [(fps[r], fps[k]) for k, r in enumerate(roots.tolist()) if r != k]
-    return (linked @ np.array(copies, dtype=np.int64)).tolist(), edges
+    kinds = np.unique((alike[found] * 1000 + 1e-6).astype(np.int64), return_counts=True)
+    return (linked @ np.array(copies, dtype=np.int64)).tolist(), edges, list(zip(*(x.tolist() for x in kinds)))
 
 
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n): a class and links of it (b null), or an edge (n 0); members sorted by unit."""
+    """(a, b, n, s): a class and links of it (b null), an edge (n 0), or the number of pairs of a
+    similarity in thousandths (a and b null); members sorted by unit."""
 
     def unit(rows: list[dict], out: list[tuple]) -> None:
         if len(rows) < 2:
             return
         sets = [np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows]
         first = rows[0]
-        links, edges = verify_unit([r["fp"] for r in rows], [r["copies"] for r in rows], [r["nodes"] for r in rows], [r["block"] for r in rows], sets, first["node"], first["low"], first["high"], threshold)
-        out.extend((r["fp"], None, n) for r, n in zip(rows, links) if n)
-        out.extend((a, b, 0) for a, b in edges)
+        links, edges, kinds = verify_unit(*([r[c] for r in rows] for c in ("fp", "copies", "nodes", "block")), sets, first["node"], first["low"], first["high"], threshold, [r["before"] for r in rows])
+        out.extend((r["fp"], None, n, None) for r, n in zip(rows, links) if n)
+        out.extend((a, b, 0, None) for a, b in edges)
+        out.extend((None, None, n, s) for s, n in kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -260,33 +270,12 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
         unit(rows, out)
         yield _links(out)
 
-    return members.mapInArrow(run, "a binary, b binary, n long")
-
-
-def _sampled_links(members: DataFrame, threshold: float) -> list[tuple[float, float]]:
-    """(similarity, weight) of the links within bounded samples of branches; members (hi, cut, shingles).
-
-    A link weighs what its branch was thinned out by, over the number of trees that may show it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, tuple[int, list[np.ndarray]]] = {}
-        for batch in batches:
-            for hi, cut, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                groups.setdefault(hi, (cut, []))[1].append(np.frombuffer(raw, dtype=np.uint64))
-        total: dict[int, float] = {}
-        for cut, sets in groups.values():
-            if len(sets) > 1:
-                found = similarities(sets)[np.triu_indices(len(sets), 1)]
-                for s in found[found >= threshold - 1e-12].tolist():
-                    total[round(s * 1000)] = total.get(round(s * 1000), 0.0) + cut * cut / (TREES * s**TOP)
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())], names=["s", "w"])
-
-    rows = members.repartition("hi").mapInArrow(run, "s int, w double").groupBy("s").agg(F.sum("w").alias("w")).orderBy("s").collect()
-    return [(r["s"] / 1000, r["w"]) for r in rows]
+    return members.mapInArrow(run, "a binary, b binary, n long, s int")
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.int64())], names=["a", "b", "n"])
+    kinds = {"a": pa.binary(), "b": pa.binary(), "n": pa.int64(), "s": pa.int32()}
+    return pa.record_batch([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
 
 # -- connected components ---------------------------------------------------------------
@@ -343,75 +332,108 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     tries = written(member.join(branches, "hi"), "forest-tries")
     discard(branches)
     release(spark)
-    depth, _ = descent(docs, reps, tries, threshold)
-
-    # Nodes of the tries at that depth; those with the same members do the same work, so one of them stays.
-    node = F.col("hi") if depth == TOP else F.xxhash64("hi", F.shiftrightunsigned("lo", 16 * (DEPTH - depth)))
-    member = tries.select("fp", "n_shingles", node.alias("node"))
-    who = [F.sum(F.xxhash64("fp", F.lit(k)).cast("decimal(38,0)")).alias(f"who{k}") for k in (0, 1)]
-    kinds = member.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), *who).where("size > 1")
-    nodes = kinds.groupBy("size", "weight", "who0", "who1").agg(F.min("node").alias("node"))
-    cut = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    nodes = written(nodes.select("node", cut.alias("cut")), "forest-nodes")
-    release(spark)
-
-    shared = written(member.drop("n_shingles").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("fp"), "cut").cast("int")), "forest-shared")
-    discard(nodes)
-    discard(tries)
-    release(spark)
     classes = reps.select("fp", "copies", "rep")
-    wanted = written(shared.groupBy("fp").agg(F.collect_list("node").alias("nodes")).join(classes, "fp"), "forest-wanted")
+    wanted = written(tries.select("fp").distinct().join(classes, "fp"), "forest-wanted")
     release(spark)
     sets = written(_sets(docs, wanted), "forest-sets")
+    discard(wanted)
     release(spark)
 
-    pairs = F.expr("transform(sequence(0, cut - 1), k -> named_struct('low', least(k, block), 'high', greatest(k, block)))")
-    units = shared.select("node", "fp", "block", F.explode(pairs).alias("p")).select("node", "fp", "block", "p.low", "p.high")
-    work = units.join(sets, "fp").repartition(partitions_for(sets), "node", "low", "high").sortWithinPartitions("node", "low", "high")
-    found = written(_verified(work.select("node", "low", "high", "block", "fp", "copies", "nodes", "shingles"), threshold), "forest-found")
-    for old in (sets, shared, wanted):
+    # The longest prefixes first, then what their links call for.
+    nodes = _nodes(tries, DEPTH)
+    small = nodes.where("cut = 1")
+    shared = _members(tries, DEPTH, small)
+    found = [written(_counted(sets, shared, threshold), "forest-found")]
+    done = [nodes, shared, tries, sets]
+    release(spark)
+    depth, _ = descent(found[0], threshold)
+    if not nodes.where("cut > 1").isEmpty():
+        depth = TOP  # large nodes are put off, and lie whole in the branches
+    if depth < DEPTH:
+        more = _nodes(tries, depth, small)
+        rest = _members(tries, depth, more)
+        found.append(written(_counted(sets, rest, threshold, shared), "forest-found"))
+        done += [more, rest]
+    for old in done:
         discard(old)
     release(spark)
 
-    links = found.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("links"))
-    groups = components(found.where("b is not null").select("a", "b")).withColumnRenamed("v", "fp")
+    both = reduce(DataFrame.union, found)
+    links = both.where("a is not null and b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("links"))
+    groups = components(both.where("b is not null").select("a", "b")).withColumnRenamed("v", "fp")
     named = classes.join(groups, "fp", "left").join(links, "fp", "left")
     named = written(named.select("fp", F.coalesce("root", "fp").alias("root"), "rep", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links")), "forest-named")
-    discard(found)
-    discard(reps)
+    for old in (*found, reps):
+        discard(old)
     release(spark)
     return signed.select("doc_id", "k1", "k2", "fp"), named
 
 
-def descent(docs: DataFrame, reps: DataFrame, tries: DataFrame, threshold: float = THRESHOLD) -> tuple[int, float]:
-    """(length of the prefix that will do, recall expected of it), from links of a bounded sample of branches."""
-    some = tries.groupBy("hi").agg(F.count("*").alias("n")).orderBy(F.xxhash64("hi", F.lit(5)), "hi").limit(SAMPLE_NODES)
-    some = some.select("hi", F.ceil(F.col("n") / SAMPLE_CLASSES).cast("int").alias("cut"))
-    # About SAMPLE_NODES * SAMPLE_CLASSES rows at most, so both sides can be broadcast.
-    thin = written(tries.join(F.broadcast(some), "hi").where(F.pmod(F.xxhash64("fp", "hi"), "cut") == 0).select("hi", "cut", "fp"), "forest-sample")
-    named = reps.join(F.broadcast(thin.select("fp").distinct()), "fp", "left_semi").select("fp", "rep", F.lit(1).cast("long").alias("copies"), F.array().cast("array<long>").alias("nodes"))
-    links = _sampled_links(thin.join(_sets(docs, written(named, "forest-sampled"), few=True), "fp").select("hi", "cut", "shingles"), threshold)
-    discard(thin)
-    return shortened(links, threshold=threshold)
+def _at(tries: DataFrame, depth: int) -> DataFrame:
+    """(fp, n_shingles, node) of the tries at a depth."""
+    node = F.col("hi") if depth == TOP else F.xxhash64("hi", F.shiftrightunsigned("lo", 16 * (DEPTH - depth)))
+    return tries.select("fp", "n_shingles", node.alias("node"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
-    """(fp, copies, nodes, shingles) of the classes in ``wanted`` (a bounded number where ``few``), from the text of one document each."""
+def _nodes(tries: DataFrame, depth: int, done: DataFrame | None = None) -> DataFrame:
+    """(node, cut, size, weight, who0, who1) of the nodes of ``depth`` values, a table.
+
+    Nodes with the same members do the same work, so one of them stays, and none that ``done`` has."""
+    who = [F.sum(F.xxhash64("fp", F.lit(k)).cast("decimal(38,0)")).alias(f"who{k}") for k in (0, 1)]
+    same = ["size", "weight", "who0", "who1"]
+    kinds = _at(tries, depth).groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), *who).where("size > 1")
+    nodes = kinds.groupBy(*same).agg(F.min("node").alias("node"))
+    if done is not None:
+        nodes = nodes.join(done.select(*same), same, "left_anti")
+    cut = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    nodes = written(nodes.select("node", cut.alias("cut"), *same), "forest-nodes")
+    release(tries.sparkSession)
+    return nodes
+
+
+def _members(tries: DataFrame, depth: int, nodes: DataFrame) -> DataFrame:
+    """(fp, node, cut, block) of the members of ``nodes``, a table."""
+    block = F.pmod(F.xxhash64("fp"), "cut").cast("int")
+    shared = written(_at(tries, depth).select("fp", "node").join(nodes.select("node", "cut"), "node").withColumn("block", block), "forest-shared")
+    release(tries.sparkSession)
+    return shared
+
+
+def _counted(sets: DataFrame, shared: DataFrame, threshold: float, before: DataFrame | None = None) -> DataFrame:
+    """What :func:`_verified` says of all pairs in the nodes of ``shared`` but those in a node of ``before``."""
+    of = lambda x, name: x.groupBy("fp").agg(F.collect_list("node").alias(name))
+    own = of(shared, "nodes")
+    if before is not None:
+        own = own.join(of(before, "before"), "fp", "left")
+    none = F.array().cast("array<long>")
+    own = own.select("fp", "nodes", (none if before is None else F.coalesce("before", none)).alias("before"))
+    pairs = F.expr("transform(sequence(0, cut - 1), k -> named_struct('low', least(k, block), 'high', greatest(k, block)))")
+    units = shared.select("node", "fp", "block", F.explode(pairs).alias("p")).select("node", "fp", "block", "p.low", "p.high")
+    work = units.join(sets.join(own, "fp"), "fp").repartition(partitions_for(sets), "node", "low", "high").sortWithinPartitions("node", "low", "high")
+    return _verified(work.select("node", "low", "high", "block", "fp", "copies", "nodes", "before", "shingles"), threshold)
+
+
+def descent(found: DataFrame, threshold: float = THRESHOLD) -> tuple[int, float]:
+    """(length of the prefix that will do, recall expected of it), from all links of the nodes of ``DEPTH`` values.
+
+    A link of similarity s is among them with a known probability, by whose inverse it counts."""
+    rows = found.where("s is not null").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").collect()
+    links = [(r["s"] / 1000, r["n"] / (1 - (1 - (r["s"] / 1000) ** DEPTH) ** TREES)) for r in rows]
+    return shortened(links, threshold=threshold, together=True)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, copies, shingles) of the classes in ``wanted``, from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.tobytes() for x in shingle_sets(plain_texts(batch.column(3)))]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.binary())], names=["fp", "copies", "nodes", "shingles"])
-
-    one = _named_rows(wanted.select("fp", "copies", "nodes", "rep"))
-    texts = docs
-    if few:
-        one = F.broadcast(one)
-        # Ids first: only few texts need a key.
-        texts = docs.join(F.broadcast(wanted.select(F.col("rep.doc_id").alias("i")).distinct()), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
+            found = [x.tobytes() for x in shingle_sets(plain_texts(batch.column(2)))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["fp", "copies", "shingles"])
+
+    one = _named_rows(wanted.select("fp", "copies", "rep"))
     # Repeated rows, equal in id and text, meet in the join's own partitioning.
-    texts = texts.withColumns(row_key()).join(one, ROW_KEY).dropDuplicates(ROW_KEY)
-    return texts.select("fp", "copies", "nodes", "text").mapInArrow(run, "fp binary, copies long, nodes array<long>, shingles binary")
+    texts = docs.withColumns(row_key()).join(one, ROW_KEY).dropDuplicates(ROW_KEY)
+    return texts.select("fp", "copies", "text").mapInArrow(run, "fp binary, copies long, shingles binary")
 
 
 def _named_rows(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_join as J
@@ -107,6 +108,55 @@ def test_descent_follows_the_data(spark, monkeypatch):
     assert depths[0][0] > depths[2][0] and all(r >= J.RECALL for _, r in depths)
 
 
+def test_no_link_is_left_for_the_average(spark):
+    """Among many links of nearly equal texts, one at the threshold that shares no long prefix is found too."""
+    def texts(t):
+        words = [f"t{t}w{k}" for k in range(64)]
+        return " ".join(words), " ".join(words[:52])  # 48 of 60 shingles: 0.8
+
+    def longest(a, b):
+        x, y = (J.signature(x, J.TREES * J.DEPTH).reshape(J.TREES, J.DEPTH) for x in J.shingle_sets(pa.array([a, b])))
+        return int((x == y).cumprod(axis=1).sum(axis=1).max())
+
+    rare = next(x for x in map(texts, range(20_000)) if J.TOP < longest(*x) < J.DEPTH - 1)
+    rows = [(0, rare[0]), (1, rare[1])]
+    for g in range(1000):
+        words = [f"g{g}w{k}" for k in range(60)]
+        rows += [(2 * g + 2, " ".join(words)), (2 * g + 3, " ".join([*words, "more"]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: (n - n % 2, 1) for n in range(2002)}
+
+
+def test_links_of_both_lengths_are_counted_once(spark, monkeypatch):
+    """Groups whose pairs meet in nodes of both lengths, and one of several blocks, put off to the shorter one."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+    told, seen = J.descent, []
+
+    def descent(found, *a, **k):
+        seen.append(sum(r.n for r in found.where("s is not null").collect()))
+        return told(found, *a, **k)
+
+    monkeypatch.setattr(J, "descent", descent)
+    rng, rows = np.random.default_rng(4), []
+    for n in range(50):
+        own = [f"v{k} {max(0, n - 25) // 5}" for k in range(150)]
+        for at in rng.integers(0, 150, size=n % 4):
+            own[at] = f"changed{n}x{at}"
+        rows.append((n, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    check(frame)
+    assert 0 < seen[0] == seen[1] <= sum(r.n_links for r in J.ngram_join(frame).collect()) // 2
+
+
+def test_whole_table_loses_no_link():
+    lost = lambda n, d: n * (1 - 0.8**d) ** J.TREES
+    depth, _ = J.shortened([], together=True)
+    assert lost(1, depth) <= 1 - J.RECALL < lost(1, depth + 1)
+    # However many closer links there are, those at the threshold count by themselves.
+    assert J.shortened([(0.99, 1e9)], together=True)[0] == depth
+    assert J.shortened([(0.8, 1e3)], together=True)[0] == J.TOP
+
+
 def test_tries_share_prefixes():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, size=400).astype(np.uint64))

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import ROW_KEY, discard, grouped, partitions_for, plain_texts, release, row_key, text_key, word_hashes, written
+from tessera.llm.shared import ROW_KEY, discard, grouped, id_key, partitions_for, plain_texts, release, row_key, sifted, text_key, word_hashes, written
 from tessera.llm.substring_dedup import mixed
 
 SHINGLE = 5
@@ -322,17 +322,21 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     signed = written(_signed(docs), "forest-signed")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     one = [F.first(c).alias(c) for c in ("n_shingles", "heads", "tails")]  # equal in all of a class
-    reps = written(signed.where("fp is not null").groupBy("fp").agg(F.count("*").alias("copies"), F.min(name).alias("rep"), *one), "forest-classes")
+    reps = written(signed.where("fp is not null").groupBy("fp").agg(F.count("*").alias("copies"), F.min(name).alias("rep"), *one), "forest-signatures")
+    rows = written(signed.select("doc_id", "k1", "k2", "fp"), "forest-rows")
+    discard(signed)
     release(spark)
 
     # The tries: branches of several classes, by their first TOP values.
     member = reps.select("fp", "n_shingles", F.explode(F.arrays_zip("heads", "tails")).alias("x")).select("fp", "n_shingles", F.col("x.heads").alias("hi"), F.col("x.tails").alias("lo"))
     branches = written(member.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1"), "forest-branches")
     release(spark)
-    tries = written(member.join(branches, "hi"), "forest-tries")
-    discard(branches)
+    # Most values are of one class: they are left out before the join shuffles them.
+    tries = written(sifted(member, branches, ("hi",)).where("_may").drop("_may").join(branches, "hi"), "forest-tries")
+    classes = written(reps.select("fp", "copies", "rep"), "forest-classes")
+    for old in (branches, reps):
+        discard(old)
     release(spark)
-    classes = reps.select("fp", "copies", "rep")
     wanted = written(tries.select("fp").distinct().join(classes, "fp"), "forest-wanted")
     release(spark)
     sets = written(_sets(docs, wanted), "forest-sets")
@@ -363,10 +367,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     groups = components(both.where("b is not null").select("a", "b")).withColumnRenamed("v", "fp")
     named = classes.join(groups, "fp", "left").join(links, "fp", "left")
     named = written(named.select("fp", F.coalesce("root", "fp").alias("root"), "rep", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links")), "forest-named")
-    for old in (*found, reps):
+    for old in (*found, classes):
         discard(old)
     release(spark)
-    return signed.select("doc_id", "k1", "k2", "fp"), named
+    return rows, named
 
 
 def _at(tries: DataFrame, depth: int) -> DataFrame:
@@ -431,8 +435,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["fp", "copies", "shingles"])
 
     one = _named_rows(wanted.select("fp", "copies", "rep"))
-    # Repeated rows, equal in id and text, meet in the join's own partitioning.
-    texts = docs.withColumns(row_key()).join(one, ROW_KEY).dropDuplicates(ROW_KEY)
+    # Few texts are wanted, and others aren't shuffled.  Repeated rows, equal in id and text, meet in the join's own partitioning.
+    texts = sifted(docs.withColumns(row_key()), one).where("_may").drop("_may").join(one, ROW_KEY).dropDuplicates(ROW_KEY)
     return texts.select("fp", "copies", "text").mapInArrow(run, "fp binary, copies long, shingles binary")
 
 
@@ -455,9 +459,14 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest doc_id; rows without words all stay."""
-    _, classes = near_classes(docs, threshold)
+    rows, classes = near_classes(docs, threshold)
     first = written(_named_rows(classes.groupBy("root").agg(F.min("rep").alias("rep")).select("rep")), "forest-first")
+    several = classes.where("copies > 1 or links > 0").select("fp")
+    several = written(rows.join(several, "fp").withColumns(id_key()).select(*ROW_KEY).distinct(), "forest-several")
+    release(docs.sparkSession)
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("_own")).withColumns(row_key())
-    kept = packed.select("_own", *ROW_KEY).join(first, ROW_KEY).dropDuplicates(ROW_KEY)
-    wordless = docs.where(F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\x0B\f\r]*\z"))
-    return kept.select("_own.*").unionByName(wordless)
+    # Rows that aren't of a group of several are their groups' only ones: their texts stay where they are.
+    wordless = F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\x0B\f\r]*\z")
+    packed = sifted(packed, several).withColumn("_may", F.col("_may") & ~wordless)
+    kept = packed.where("_may").select("_own", *ROW_KEY).join(first, ROW_KEY).dropDuplicates(ROW_KEY)
+    return kept.select("_own.*").unionByName(packed.where("not _may").select("_own.*"))

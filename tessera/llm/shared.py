@@ -152,13 +152,37 @@ def text_key(column: str = "text") -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
 
 
+def id_key() -> dict[str, Column]:
+    """d0 and d1, which stand for a document's id (long) without nulls."""
+    return {"d0": F.col("doc_id").isNull().cast("int"), "d1": F.coalesce("doc_id", F.lit(0).cast("long"))}
+
+
 #: The columns of :func:`row_key`.
 ROW_KEY = ["k1", "k2", "d0", "d1"]
 
 
 def row_key() -> dict[str, Column]:
     """Columns without nulls that stand for a document's id (long) and text: joins on them keep one partitioning."""
-    return text_key() | {"d0": F.col("doc_id").isNull().cast("int"), "d1": F.coalesce("doc_id", F.lit(0).cast("long"))}
+    return text_key() | id_key()
+
+
+#: Bits of a sieve for each key, and of the largest sieve (32 MB): beyond that more rows pass for nothing.
+SIEVE_BITS = 16
+SIEVE_MOST = 1 << 28
+
+
+def sifted(df: DataFrame, keys: DataFrame, on: tuple[str, ...] = tuple(ROW_KEY)) -> DataFrame:
+    """``df`` and a column _may, false only where the row's columns ``on``, without nulls, are none of ``keys``
+    (without repeats, read twice).
+
+    A bitmap of the keys' hashes, in pieces of 2^15 bits, is broadcast; about one other row in ``SIEVE_BITS`` passes too."""
+    bits = min(SIEVE_MOST, max(1 << 15, SIEVE_BITS * keys.count()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    piece, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    sieve = keys.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return df.withColumn("_piece", piece).join(F.broadcast(sieve), "_piece", "left").withColumn("_may", may).drop("_piece", "_bits")
 
 
 class Memo:

@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join as J
+from tessera.llm import shared
 
 
 def brute(rows):
@@ -148,6 +150,40 @@ def test_links_of_both_lengths_are_counted_once(spark, monkeypatch):
     assert 0 < seen[0] == seen[1] <= sum(r.n_links for r in J.ngram_join(frame).collect()) // 2
 
 
+def test_texts_of_no_group_are_not_shuffled(spark):
+    """Where nothing is small enough for Spark to broadcast, only texts with near copies go through a shuffle."""
+    rng = np.random.default_rng(6)
+    rows = [(n, " ".join(f"{x:08x}" for x in rng.integers(0, 1 << 32, size=4000))) for n in range(150)]
+    rows += [(1000 + n, text + " more") for n, text in rows[:5]] + [rows[7]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(executors().apply(k).totalShuffleWrite() for k in range(executors().size()))
+
+    most, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = J.drop_near_copies(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sorted((r.doc_id, r.text) for r in kept) == rows[:150]
+    assert 0 < shuffled() - before < 0.5 * sum(len(text) for _, text in rows)
+
+
+def test_sieve_only_spares_work(spark, odd, monkeypatch):
+    """A sieve lets all of its keys pass and few others; one that lets everything pass changes no result."""
+    keyed = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one").alias("text")).withColumns(shared.row_key())
+    keys = keyed.where("doc_id % 4 = 1").select(*shared.ROW_KEY)
+    passed = [r.doc_id for r in shared.sifted(keyed, keys).where("_may").collect()]
+    assert len(passed) == len(set(passed)) < 7_000 and {n for n in range(20_000) if n % 4 == 1} <= set(passed)
+    assert shared.sifted(keyed, keys.limit(0)).where("not _may").count() == 20_000
+    monkeypatch.setattr(shared, "SIEVE_MOST", 1)
+    assert shared.sifted(keyed, keys).where("_may").count() == 20_000
+    check(odd)
+
+
 def test_whole_table_loses_no_link():
     lost = lambda n, d: n * (1 - 0.8**d) ** J.TREES
     depth, _ = J.shortened([], together=True)
